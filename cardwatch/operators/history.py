@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from cardwatch.functions.cleaning import epoch_seconds
 
-KEY, SECOND = "_key", "_sec"
+KEY, SECOND, SLICE = "_key", "_sec", "_slice"
 
 # Stands for "no timestamp": outside the range of Spark timestamps, far from overflow.
 NO_TIME = -(2**62)
@@ -43,27 +43,33 @@ def keyed_by_second(df: DataFrame, key: str, moment: str) -> DataFrame:
     )
 
 
-def slice_start(second: Column, length: int) -> Column:
-    return second - F.pmod(second, F.lit(length))
+def slice_start(width: int) -> Column:
+    return F.col(SECOND) - F.pmod(F.col(SECOND), F.lit(width))
 
 
 def trailing_history(
-    ticks: DataFrame, width: int, totals: Sequence[str], own_second: bool, last: str | None = None
+    ticks: DataFrame,
+    width: int,
+    totals: Sequence[str],
+    own_second: bool,
+    last: str | None = None,
+    tails: DataFrame | None = None,
 ) -> DataFrame:
     """Per tick, the totals over the seconds ``[t - width, t]``, or ``[t - width, t - 1]``.
 
     ``ticks`` has one row per (``_key``, ``_sec``). The named totals are replaced by their trailing
-    sums (NULL where the frame is empty). With ``last``, the column ``_prev`` holds a struct
-    (``at``, ``was``) of the key's previous tick, however long ago.
+    sums (NULL where the frame is empty). With ``last`` and the matching ``tails`` of
+    :func:`slice_tails`, ``_prev`` holds a struct (``at``, ``was``) of the key's previous tick,
+    however long ago.
     """
     values = list(totals) + ([last] if last else [])
     placed = (
         ticks.select(KEY, SECOND, *values, F.explode(F.array(F.lit(0), F.lit(width))).alias("_shift"))
         .withColumn(SECOND, F.col(SECOND) + F.col("_shift"))
-        .withColumn("_slice", slice_start(F.col(SECOND), width))
+        .withColumn(SLICE, slice_start(width))
     )
     arrives = F.col("_shift") == 0
-    group = Window.partitionBy(KEY, "_slice")
+    group = Window.partitionBy(KEY, SLICE)
     forward = group.orderBy(SECOND)
     upto = forward.rangeBetween(Window.unboundedPreceding, 0 if own_second else -1)
     onward = group.orderBy(F.col(SECOND).desc()).rangeBetween(Window.unboundedPreceding, 0)
@@ -79,10 +85,10 @@ def trailing_history(
     windowed = placed.withColumns(added).filter(arrives)
 
     if last:
-        windowed = (
-            windowed.join(_carried_over(ticks, width, last), [KEY, "_slice"])
-            .withColumn("_prev", F.coalesce("_prev", "_carried"))
-        )
+        # One row per key and slice, so this window is bounded by the time span over the width.
+        by_time = Window.partitionBy(KEY).orderBy(SLICE)
+        carried = tails.select(KEY, SLICE, F.lag("_tail").over(by_time).alias("_carried"))
+        windowed = windowed.join(carried, [KEY, SLICE]).withColumn("_prev", F.coalesce("_prev", "_carried"))
     return windowed.select(
         KEY,
         SECOND,
@@ -91,6 +97,16 @@ def trailing_history(
     )
 
 
+def slice_tails(keyed: DataFrame, width: int, value: Column, order: Sequence[Column]) -> DataFrame:
+    """The last row of every key and slice, as ``_tail`` with the fields (``at``, ``was``)."""
+    tail = F.struct(F.col(SECOND).alias("at"), value.alias("was"))
+    return (
+        keyed.withColumn(SLICE, slice_start(width))
+        .groupBy(KEY, SLICE)
+        .agg(F.max_by(tail, F.struct(*order)).alias("_tail"))
+    )
+
+
 def _both(name: str, own_second: bool) -> Column:
     """Arrivals plus departures; NULL only if neither has a row."""
     arrived, departing = F.col(f"_in_{name}"), F.col(f"_out_{name}")
@@ -98,17 +114,3 @@ def _both(name: str, own_second: bool) -> Column:
         # Rows without a time are each other's only history, as in a RANGE frame.
         arrived = F.when(F.col(SECOND) == NO_TIME, F.col(name)).otherwise(arrived)
     return F.coalesce(arrived + departing, arrived, departing)
-
-
-def _carried_over(ticks: DataFrame, width: int, last: str) -> DataFrame:
-    """For each key and slice, the last tick of the key's previous slice that has any.
-
-    One row per key and slice, so the window by key is bounded by the time span over the width.
-    """
-    tails = (
-        ticks.withColumn("_slice", slice_start(F.col(SECOND), width))
-        .groupBy(KEY, "_slice")
-        .agg(F.max_by(F.struct(F.col(SECOND).alias("at"), F.col(last).alias("was")), SECOND).alias("_tail"))
-    )
-    by_time = Window.partitionBy(KEY).orderBy("_slice")
-    return tails.select(KEY, "_slice", F.lag("_tail").over(by_time).alias("_carried"))

@@ -10,7 +10,14 @@ from pyspark.sql import functions as F
 
 from cardwatch.functions.geo import haversine_km
 from cardwatch.functions.scoring import with_risk_columns
-from cardwatch.operators.history import KEY, SECOND, keyed_by_second, trailing_history
+from cardwatch.operators.history import (
+    KEY,
+    NO_TIME,
+    SECOND,
+    keyed_by_second,
+    slice_tails,
+    trailing_history,
+)
 from cardwatch.settings import DEFAULTS, RuleSettings
 
 SECONDS_PER_HOUR = 3600.0
@@ -35,8 +42,9 @@ def apply_velocity_rule(
     history = trailing_history(
         ticks, settings.velocity_window_seconds, ["txn_count_in_window"], own_second=True
     )
-    joined = keyed.join(history, [KEY, SECOND])
-    return joined.select(*df.columns, "txn_count_in_window", _velocity_flag(settings))
+    return keyed.join(history, [KEY, SECOND]).select(
+        *df.columns, "txn_count_in_window", _velocity_flag(settings)
+    )
 
 
 def apply_geo_jump_rule(
@@ -53,15 +61,9 @@ def apply_geo_jump_rule(
     The flag is NULL where the previous place is known but no speed can be told: the present place
     is unknown or no whole second has passed.
     """
-    keyed = keyed_by_second(df, card_col, ts_col)
-    order = _row_order(df, ts_col, tie_break)
-    place = F.struct(F.col(lat_col).alias("lat"), F.col(lon_col).alias("lon"))
-    ticks = keyed.groupBy(KEY, SECOND).agg(F.max_by(place, F.struct(*order)).alias("_place"))
-    history = trailing_history(
-        ticks, settings.velocity_window_seconds, [], own_second=True, last="_place"
-    )
-    return keyed.join(history, [KEY, SECOND]).select(
-        *df.columns, *_geo_columns(order, lat_col, lon_col, settings)
+    rules = _CardRules(df, card_col, ts_col, lat_col, lon_col, tie_break, settings)
+    return rules.rows().join(rules.history(counted=False), [KEY, SECOND]).select(
+        *df.columns, *rules.geo_columns()
     )
 
 
@@ -74,92 +76,110 @@ def apply_spending_deviation_rule(
 ) -> DataFrame:
     """Compare with the mean of the customer's trailing days, rows of the same second left out."""
     keyed = keyed_by_second(df, customer_col, ts_col)
-    ticks = keyed.groupBy(KEY, SECOND).agg(
-        F.sum(amount_col).alias("_spent"), F.count(amount_col).alias("_payments")
-    )
-    history = trailing_history(
-        ticks, settings.deviation_window_seconds, ["_spent", "_payments"], own_second=False
-    )
-    mean = F.when(F.col("_payments") > 0, F.col("_spent") / F.col("_payments"))
-    flag = mean.isNotNull() & (F.col(amount_col) > mean * settings.deviation_multiplier)
-    return keyed.join(history, [KEY, SECOND]).select(
-        *df.columns,
-        mean.alias("trailing_30d_avg_amount"),
-        flag.alias("flag_spending_deviation"),
-    )
-
-
-def apply_card_rules(
-    df: DataFrame,
-    card_col: str = "card_id",
-    ts_col: str = "date",
-    lat_col: str = "merchant_latitude",
-    lon_col: str = "merchant_longitude",
-    tie_break: str = "id",
-    settings: RuleSettings = DEFAULTS,
-) -> DataFrame:
-    """Velocity and geo-jump together: one set of ticks, one shuffle of the rows."""
-    keyed = keyed_by_second(df, card_col, ts_col)
-    order = _row_order(df, ts_col, tie_break)
-    place = F.struct(F.col(lat_col).alias("lat"), F.col(lon_col).alias("lon"))
-    ticks = keyed.groupBy(KEY, SECOND).agg(
-        F.count(F.lit(1)).alias("txn_count_in_window"),
-        F.max_by(place, F.struct(*order)).alias("_place"),
-    )
-    history = trailing_history(
-        ticks,
-        settings.velocity_window_seconds,
-        ["txn_count_in_window"],
-        own_second=True,
-        last="_place",
-    )
-    return keyed.join(history, [KEY, SECOND]).select(
-        *df.columns,
-        "txn_count_in_window",
-        _velocity_flag(settings),
-        *_geo_columns(order, lat_col, lon_col, settings),
-    )
+    history = _spending_history(keyed, amount_col, settings)
+    return keyed.join(history, [KEY, SECOND]).select(*df.columns, *_spending_columns(amount_col, settings))
 
 
 def score_all_rules(df: DataFrame, settings: RuleSettings = DEFAULTS) -> DataFrame:
-    """All four rules and the verdict. Expects ``merchant_latitude``/``merchant_longitude``.
+    """All four rules and the verdict, for rows with the standard transaction columns and
+    ``merchant_latitude``/``merchant_longitude``.
 
-    ``df`` is read three times (rows, card ticks, customer ticks), each with its own columns, so
+    Two shuffles of the whole rows: by card and second, by customer and second. Both histories are
+    taken from ``df`` itself, which is therefore read once for the rows and once per narrow history;
     hand in a written table rather than a long chain of joins.
     """
+    amount_flagged = apply_amount_rule(df, settings=settings)
+    cards = _CardRules(
+        amount_flagged, "card_id", "date", "merchant_latitude", "merchant_longitude", "id", settings
+    )
+    by_card = (
+        cards.rows()
+        .join(cards.history(counted=True), [KEY, SECOND])
+        .select(
+            *amount_flagged.columns,
+            "txn_count_in_window",
+            _velocity_flag(settings),
+            *cards.geo_columns(),
+        )
+    )
+    spending = _spending_history(keyed_by_second(df, "client_id", "date"), "amount", settings)
     return (
-        df.transform(apply_amount_rule, settings=settings)
-        .transform(apply_card_rules, settings=settings)
-        .transform(apply_spending_deviation_rule, settings=settings)
+        keyed_by_second(by_card, "client_id", "date")
+        .join(spending, [KEY, SECOND])
+        .select(*by_card.columns, *_spending_columns("amount", settings))
         .transform(with_risk_columns, settings=settings)
     )
 
 
-def _velocity_flag(settings: RuleSettings) -> Column:
-    return (F.col("txn_count_in_window") >= settings.velocity_count).alias("flag_velocity")
-
-
-def _row_order(df: DataFrame, ts_col: str, tie_break: str) -> list[Column]:
-    names = [ts_col] + ([tie_break] if tie_break in df.columns else [])
-    return [F.col(name) for name in names]
-
+class _CardRules:
+    """The parts of the two rules that look at a card's past, on one common set of ticks."""
+
+    def __init__(self, df, card_col, ts_col, lat_col, lon_col, tie_break, settings):
+        self.keyed = keyed_by_second(df, card_col, ts_col)
+        self.order = [F.col(ts_col)] + ([F.col(tie_break)] if tie_break in df.columns else [])
+        self.lat, self.lon = F.col(lat_col), F.col(lon_col)
+        self.settings = settings
+
+    def rows(self) -> DataFrame:
+        return self.keyed
+
+    @property
+    def place(self) -> Column:
+        return F.struct(self.lat.alias("lat"), self.lon.alias("lon"))
+
+    def history(self, counted: bool) -> DataFrame:
+        width = self.settings.velocity_window_seconds
+        ticks = self.keyed.groupBy(KEY, SECOND).agg(
+            F.count(F.lit(1)).alias("txn_count_in_window"),
+            F.max_by(self.place, F.struct(*self.order)).alias("_place"),
+        )
+        return trailing_history(
+            ticks,
+            width,
+            ["txn_count_in_window"] if counted else [],
+            own_second=True,
+            last="_place",
+            tails=slice_tails(self.keyed, width, self.place, self.order),
+        )
+
+    def geo_columns(self) -> list[Column]:
+        """Speed and flag of rows that carry ``_prev``, the card's previous tick.
+
+        Only the first row of a second can have a speed. Its predecessor is the previous tick's
+        last row; for the others just whether the row before them had a place matters.
+        """
+        same_second = F.lag(self.place).over(Window.partitionBy(KEY, SECOND).orderBy(*self.order))
+        first = same_second.isNull()
+        before = F.col("_prev.was")
+        known_time = F.col("_prev.at") != NO_TIME
+        hours = (F.col(SECOND) - F.col("_prev.at")) / SECONDS_PER_HOUR
+        distance = haversine_km(before["lat"], before["lon"], self.lat, self.lon)
+        speed = F.when(first & known_time, distance / hours)
+        placed = F.when(first, before["lat"].isNotNull()).otherwise(same_second["lat"].isNotNull())
+        too_fast = speed > self.settings.max_speed_kmh
+        return [
+            speed.alias("_implied_speed_kmh"),
+            (F.coalesce(placed, F.lit(False)) & too_fast).alias("flag_geo_jump"),
+        ]
+
+
+def _spending_history(keyed: DataFrame, amount_col: str, settings: RuleSettings) -> DataFrame:
+    ticks = keyed.groupBy(KEY, SECOND).agg(
+        F.sum(amount_col).alias("_spent"), F.count(amount_col).alias("_payments")
+    )
+    return trailing_history(
+        ticks, settings.deviation_window_seconds, ["_spent", "_payments"], own_second=False
+    )
 
-def _geo_columns(order: list[Column], lat_col: str, lon_col: str, settings: RuleSettings) -> list[Column]:
-    """Speed and flag of rows that carry ``_prev``, the card's previous tick.
 
-    Only the first row of a second can have a speed. Its predecessor is the previous tick's last
-    row; for the others just whether the row before them had a place matters.
-    """
-    place = F.struct(F.col(lat_col).alias("lat"), F.col(lon_col).alias("lon"))
-    same_second = F.lag(place).over(Window.partitionBy(KEY, SECOND).orderBy(*order))
-    first = same_second.isNull()
-    before = F.col("_prev.was")
-    hours = (F.col(SECOND) - F.col("_prev.at")) / SECONDS_PER_HOUR
-    known_time = F.col("_prev.at") > -(2**61)
-    distance = haversine_km(before["lat"], before["lon"], lat_col, lon_col)
-    speed = F.when(first & known_time, distance / hours)
-    placed = F.when(first, before["lat"].isNotNull()).otherwise(same_second["lat"].isNotNull())
+def _spending_columns(amount_col: str, settings: RuleSettings) -> list[Column]:
+    mean = F.when(F.col("_payments") > 0, F.col("_spent") / F.col("_payments"))
+    above = F.col(amount_col) > mean * settings.deviation_multiplier
     return [
-        speed.alias("_implied_speed_kmh"),
-        (F.coalesce(placed, F.lit(False)) & (speed > settings.max_speed_kmh)).alias("flag_geo_jump"),
+        mean.alias("trailing_30d_avg_amount"),
+        (mean.isNotNull() & above).alias("flag_spending_deviation"),
     ]
+
+
+def _velocity_flag(settings: RuleSettings) -> Column:
+    return (F.col("txn_count_in_window") >= settings.velocity_count).alias("flag_velocity")
