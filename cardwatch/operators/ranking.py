@@ -33,7 +33,8 @@ def global_ntile(df: DataFrame, order_cols: Sequence[str], buckets: int, name: s
         .drop("_id")
         .checkpoint()
     )
-    # One row per partition of the range shuffle: bounded by spark.sql.shuffle.partitions.
+    # One row per partition of the range shuffle, at most spark.sql.shuffle.partitions, whatever the
+    # table's size: safe to sum up in one task and to broadcast.
     sizes = ordered.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
     everything = Window.orderBy("_part")
     offsets = sizes.select(
@@ -54,7 +55,7 @@ def global_ntile(df: DataFrame, order_cols: Sequence[str], buckets: int, name: s
         F.expr("_rank div (_per + 1)"),
     ).otherwise(F.col("_spare") + F.expr("(_rank - _spare * (_per + 1)) div greatest(_per, 1)"))
     return (
-        ordered.join(offsets, "_part")
+        ordered.join(F.broadcast(offsets), "_part")
         .withColumns({"_rank": rank, "_per": size, "_spare": spare})
         .withColumn(name, (bucket + 1).cast("int"))
         .select(*df.columns, name)

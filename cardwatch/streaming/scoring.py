@@ -120,7 +120,7 @@ def run_available(
     df: DataFrame,
     target: str,
     checkpoint: str,
-    timeout_seconds: int = 3600,
+    timeout_seconds: float = 3600,
     state_partitions: int | None = None,
 ) -> None:
     """Append what is there to a parquet table and return; exactly once per checkpoint.

@@ -89,5 +89,5 @@ def test_a_run_that_takes_too_long_is_stopped(spark, tmp_path):
     spark.createDataFrame(rows_in_order(20), COLUMNS).write.parquet(str(tmp_path / "landing"))
     stream = score_card_state(read_landing(spark, str(tmp_path / "landing"), COLUMNS), SETTINGS)
     with pytest.raises(TimeoutError):
-        run_available(stream, str(tmp_path / "out"), str(tmp_path / "ckpt"), timeout_seconds=0, state_partitions=2)
+        run_available(stream, str(tmp_path / "out"), str(tmp_path / "ckpt"), timeout_seconds=0.2, state_partitions=2)
     assert not spark.streams.active
