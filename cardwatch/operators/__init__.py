@@ -12,6 +12,7 @@ from cardwatch.operators.quality import (
 from cardwatch.operators.ranking import global_ntile
 from cardwatch.operators.rules import (
     apply_amount_rule,
+    apply_card_rules,
     apply_geo_jump_rule,
     apply_spending_deviation_rule,
     apply_velocity_rule,
@@ -22,6 +23,7 @@ from cardwatch.operators.scd import changed_rows, scd1_upsert, scd2_merge, scd2_
 __all__ = [
     "Viewer",
     "apply_amount_rule",
+    "apply_card_rules",
     "apply_geo_jump_rule",
     "apply_spending_deviation_rule",
     "apply_velocity_rule",

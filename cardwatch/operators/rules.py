@@ -1,23 +1,18 @@
 """The four explainable risk rules over a whole table of transactions.
 
-None of them runs a window over a raw key; see :mod:`cardwatch.operators.history`.
+How a key's past is reached without holding a busy key in one task is told in
+:mod:`cardwatch.operators.history`. The rules that need it take ``skewed``: None finds out by a
+job over the key and time columns, False and True skip it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cardwatch.functions.geo import haversine_km
 from cardwatch.functions.scoring import with_risk_columns
-from cardwatch.operators.history import (
-    KEY,
-    NO_TIME,
-    SECOND,
-    keyed_by_second,
-    slice_tails,
-    trailing_history,
-)
+from cardwatch.operators.history import KEY, NO_TIME, SECOND, WHEN, Timeline, slice_tails, trailing_history
 from cardwatch.settings import DEFAULTS, RuleSettings
 
 SECONDS_PER_HOUR = 3600.0
@@ -35,16 +30,15 @@ def apply_velocity_rule(
     card_col: str = "card_id",
     ts_col: str = "date",
     settings: RuleSettings = DEFAULTS,
+    skewed: bool | None = None,
 ) -> DataFrame:
     """Count a card's rows over the last window of whole seconds, both ends included."""
-    keyed = keyed_by_second(df, card_col, ts_col)
-    ticks = keyed.groupBy(KEY, SECOND).agg(F.count(F.lit(1)).alias("txn_count_in_window"))
-    history = trailing_history(
-        ticks, settings.velocity_window_seconds, ["txn_count_in_window"], own_second=True
-    )
-    return keyed.join(history, [KEY, SECOND]).select(
-        *df.columns, "txn_count_in_window", _velocity_flag(settings)
-    )
+    cards = Timeline(df, card_col, ts_col, settings.velocity_window_seconds, settings, skewed)
+    rows = cards.rows.withColumn("_count", _window_count(cards))
+    if cards.has_busy_keys:
+        ticks = cards.busy_rows().groupBy(KEY, SECOND).agg(F.count(F.lit(1)).alias("_recalled"))
+        rows = cards.recall(rows, trailing_history(ticks, cards.width, ["_recalled"], own_second=True))
+    return rows.select(*df.columns, *_velocity_columns(cards, settings))
 
 
 def apply_geo_jump_rule(
@@ -55,16 +49,46 @@ def apply_geo_jump_rule(
     lon_col: str = "merchant_longitude",
     tie_break: str = "id",
     settings: RuleSettings = DEFAULTS,
+    skewed: bool | None = None,
 ) -> DataFrame:
     """Speed since the card's previous row, in the order of time and ``tie_break``.
 
     The flag is NULL where the previous place is known but no speed can be told: the present place
     is unknown or no whole second has passed.
     """
-    rules = _CardRules(df, card_col, ts_col, lat_col, lon_col, tie_break, settings)
-    return rules.rows().join(rules.history(counted=False), [KEY, SECOND]).select(
-        *df.columns, *rules.geo_columns()
-    )
+    cards = Timeline(df, card_col, ts_col, settings.velocity_window_seconds, settings, skewed)
+    places = _Places(cards, lat_col, lon_col, _order(df, ts_col, tie_break))
+    rows = places.with_predecessor()
+    if cards.has_busy_keys:
+        ticks = cards.busy_rows().groupBy(KEY, SECOND).agg(places.latest())
+        history = trailing_history(ticks, cards.width, [], True, last="_place", tails=places.tails())
+        rows = cards.recall(rows, history)
+    return rows.select(*df.columns, *places.geo_columns(settings))
+
+
+def apply_card_rules(
+    df: DataFrame,
+    card_col: str = "card_id",
+    ts_col: str = "date",
+    lat_col: str = "merchant_latitude",
+    lon_col: str = "merchant_longitude",
+    tie_break: str = "id",
+    settings: RuleSettings = DEFAULTS,
+    skewed: bool | None = None,
+) -> DataFrame:
+    """Velocity and geo-jump together: one shuffle and one sort of the rows."""
+    cards = Timeline(df, card_col, ts_col, settings.velocity_window_seconds, settings, skewed)
+    places = _Places(cards, lat_col, lon_col, _order(df, ts_col, tie_break))
+    rows = places.with_predecessor().withColumn("_count", _window_count(cards))
+    if cards.has_busy_keys:
+        ticks = (
+            cards.busy_rows().groupBy(KEY, SECOND).agg(F.count(F.lit(1)).alias("_recalled"), places.latest())
+        )
+        history = trailing_history(
+            ticks, cards.width, ["_recalled"], True, last="_place", tails=places.tails()
+        )
+        rows = cards.recall(rows, history)
+    return rows.select(*df.columns, *_velocity_columns(cards, settings), *places.geo_columns(settings))
 
 
 def apply_spending_deviation_rule(
@@ -73,113 +97,106 @@ def apply_spending_deviation_rule(
     ts_col: str = "date",
     amount_col: str = "amount",
     settings: RuleSettings = DEFAULTS,
+    skewed: bool | None = None,
 ) -> DataFrame:
     """Compare with the mean of the customer's trailing days, rows of the same second left out."""
-    keyed = keyed_by_second(df, customer_col, ts_col)
-    history = _spending_history(keyed, amount_col, settings)
-    return keyed.join(history, [KEY, SECOND]).select(*df.columns, *_spending_columns(amount_col, settings))
+    return _deviation(df, df, customer_col, ts_col, amount_col, settings, skewed)
 
 
-def score_all_rules(df: DataFrame, settings: RuleSettings = DEFAULTS) -> DataFrame:
+def score_all_rules(
+    df: DataFrame, settings: RuleSettings = DEFAULTS, skewed: bool | None = None
+) -> DataFrame:
     """All four rules and the verdict, for rows with the standard transaction columns and
     ``merchant_latitude``/``merchant_longitude``.
 
-    Two shuffles of the whole rows: by card and second, by customer and second. Both histories are
-    taken from ``df`` itself, which is therefore read once for the rows and once per narrow history;
-    hand in a written table rather than a long chain of joins.
+    Two shuffles of the whole rows, by card and by customer. What is needed besides (weighing the
+    keys, histories of busy keys) is taken from ``df`` itself, in narrow passes; hand in a written
+    table rather than a long chain of joins.
     """
-    amount_flagged = apply_amount_rule(df, settings=settings)
-    cards = _CardRules(
-        amount_flagged, "card_id", "date", "merchant_latitude", "merchant_longitude", "id", settings
-    )
-    by_card = (
-        cards.rows()
-        .join(cards.history(counted=True), [KEY, SECOND])
-        .select(
-            *amount_flagged.columns,
-            "txn_count_in_window",
-            _velocity_flag(settings),
-            *cards.geo_columns(),
+    by_card = apply_card_rules(apply_amount_rule(df, settings=settings), settings=settings, skewed=skewed)
+    judged = _deviation(by_card, df, "client_id", "date", "amount", settings, skewed)
+    return with_risk_columns(judged, settings=settings)
+
+
+def _deviation(
+    df: DataFrame,
+    source: DataFrame,
+    customer_col: str,
+    ts_col: str,
+    amount_col: str,
+    settings: RuleSettings,
+    skewed: bool | None,
+) -> DataFrame:
+    """``df`` extended by the rule; keys are weighed and remembered by way of ``source``."""
+    width = settings.deviation_window_seconds
+    customers = Timeline(source, customer_col, ts_col, width, settings, skewed)
+    trailing = customers.window().orderBy(WHEN).rangeBetween(-width, -1)
+    mean = F.avg(amount_col).over(trailing)
+    rows = customers.follow(df).withColumn("_mean", mean)
+    if customers.has_busy_keys:
+        ticks = customers.busy_rows().groupBy(KEY, SECOND).agg(
+            F.sum(amount_col).alias("_spent"), F.count(amount_col).alias("_payments")
         )
-    )
-    spending = _spending_history(keyed_by_second(df, "client_id", "date"), "amount", settings)
-    return (
-        keyed_by_second(by_card, "client_id", "date")
-        .join(spending, [KEY, SECOND])
-        .select(*by_card.columns, *_spending_columns("amount", settings))
-        .transform(with_risk_columns, settings=settings)
+        history = trailing_history(ticks, width, ["_spent", "_payments"], own_second=False)
+        recalled = F.when(F.col("_payments") > 0, F.col("_spent") / F.col("_payments"))
+        # Within the lane of one second the window finds nothing before it, so its mean is NULL.
+        rows = customers.recall(rows, history).withColumn("_mean", F.coalesce(recalled, "_mean"))
+    above = F.col(amount_col) > F.col("_mean") * settings.deviation_multiplier
+    return rows.select(
+        *df.columns,
+        F.col("_mean").alias("trailing_30d_avg_amount"),
+        (F.col("_mean").isNotNull() & above).alias("flag_spending_deviation"),
     )
 
 
-class _CardRules:
-    """The parts of the two rules that look at a card's past, on one common set of ticks."""
+def _window_count(cards: Timeline) -> Column:
+    return F.count(F.lit(1)).over(cards.window().orderBy(WHEN).rangeBetween(-cards.width, 0))
 
-    def __init__(self, df, card_col, ts_col, lat_col, lon_col, tie_break, settings):
-        self.keyed = keyed_by_second(df, card_col, ts_col)
-        self.order = [F.col(ts_col)] + ([F.col(tie_break)] if tie_break in df.columns else [])
-        self.lat, self.lon = F.col(lat_col), F.col(lon_col)
-        self.settings = settings
 
-    def rows(self) -> DataFrame:
-        return self.keyed
+def _velocity_columns(cards: Timeline, settings: RuleSettings) -> list[Column]:
+    count = F.coalesce("_recalled", "_count") if cards.has_busy_keys else F.col("_count")
+    return [
+        count.alias("txn_count_in_window"),
+        (count >= settings.velocity_count).alias("flag_velocity"),
+    ]
+
 
-    @property
-    def place(self) -> Column:
-        return F.struct(self.lat.alias("lat"), self.lon.alias("lon"))
+def _order(df: DataFrame, ts_col: str, tie_break: str) -> list[Column]:
+    return [F.col(name) for name in (ts_col, tie_break) if name in df.columns]
 
-    def history(self, counted: bool) -> DataFrame:
-        width = self.settings.velocity_window_seconds
-        ticks = self.keyed.groupBy(KEY, SECOND).agg(
-            F.count(F.lit(1)).alias("txn_count_in_window"),
-            F.max_by(self.place, F.struct(*self.order)).alias("_place"),
-        )
-        return trailing_history(
-            ticks,
-            width,
-            ["txn_count_in_window"] if counted else [],
-            own_second=True,
-            last="_place",
-            tails=slice_tails(self.keyed, width, self.place, self.order),
-        )
 
-    def geo_columns(self) -> list[Column]:
-        """Speed and flag of rows that carry ``_prev``, the card's previous tick.
-
-        Only the first row of a second can have a speed. Its predecessor is the previous tick's
-        last row; for the others just whether the row before them had a place matters.
-        """
-        same_second = F.lag(self.place).over(Window.partitionBy(KEY, SECOND).orderBy(*self.order))
-        first = same_second.isNull()
-        before = F.col("_prev.was")
-        known_time = F.col("_prev.at") != NO_TIME
-        hours = (F.col(SECOND) - F.col("_prev.at")) / SECONDS_PER_HOUR
-        distance = haversine_km(before["lat"], before["lon"], self.lat, self.lon)
-        speed = F.when(first & known_time, distance / hours)
-        placed = F.when(first, before["lat"].isNotNull()).otherwise(same_second["lat"].isNotNull())
-        too_fast = speed > self.settings.max_speed_kmh
+class _Places:
+    """Where a card was, row by row."""
+
+    def __init__(self, cards: Timeline, lat_col: str, lon_col: str, order: list[Column]):
+        self.cards, self.order = cards, order
+        self.lat, self.lon = F.col(lat_col), F.col(lon_col)
+        self.place = F.struct(self.lat.alias("lat"), self.lon.alias("lon"))
+
+    def with_predecessor(self) -> DataFrame:
+        """``_before`` (at, was): the previous row of the same window group."""
+        # Led by WHEN, so that the sort also serves the frame over WHEN alone.
+        in_order = self.cards.window().orderBy(WHEN, *self.order)
+        here = F.struct(F.col(WHEN).alias("at"), self.place.alias("was"))
+        return self.cards.rows.withColumn("_before", F.lag(here).over(in_order))
+
+    def latest(self) -> Column:
+        return F.max_by(self.place, F.struct(*self.order)).alias("_place")
+
+    def tails(self) -> DataFrame:
+        return slice_tails(self.cards.busy_rows(), self.cards.width, self.place, self.order)
+
+    def geo_columns(self, settings: RuleSettings) -> list[Column]:
+        before = F.col("_before")
+        if self.cards.has_busy_keys:
+            # Only the first row of a second has nothing before it in its lane.
+            before = F.coalesce("_before", "_prev")
+        at, was = before["at"], before["was"]
+        hours = (F.col(WHEN) - F.nullif(at, F.lit(NO_TIME))) / SECONDS_PER_HOUR
+        distance = haversine_km(was["lat"], was["lon"], self.lat, self.lon)
+        speed = F.when(hours > 0, distance / hours)
+        placed = was["lat"].isNotNull()
         return [
             speed.alias("_implied_speed_kmh"),
-            (F.coalesce(placed, F.lit(False)) & too_fast).alias("flag_geo_jump"),
+            (placed & (speed > settings.max_speed_kmh)).alias("flag_geo_jump"),
         ]
-
-
-def _spending_history(keyed: DataFrame, amount_col: str, settings: RuleSettings) -> DataFrame:
-    ticks = keyed.groupBy(KEY, SECOND).agg(
-        F.sum(amount_col).alias("_spent"), F.count(amount_col).alias("_payments")
-    )
-    return trailing_history(
-        ticks, settings.deviation_window_seconds, ["_spent", "_payments"], own_second=False
-    )
-
-
-def _spending_columns(amount_col: str, settings: RuleSettings) -> list[Column]:
-    mean = F.when(F.col("_payments") > 0, F.col("_spent") / F.col("_payments"))
-    above = F.col(amount_col) > mean * settings.deviation_multiplier
-    return [
-        mean.alias("trailing_30d_avg_amount"),
-        (mean.isNotNull() & above).alias("flag_spending_deviation"),
-    ]
-
-
-def _velocity_flag(settings: RuleSettings) -> Column:
-    return (F.col("txn_count_in_window") >= settings.velocity_count).alias("flag_velocity")

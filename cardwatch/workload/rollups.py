@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cardwatch.functions import with_risk_columns
-from cardwatch.operators.rules import apply_geo_jump_rule, apply_velocity_rule, score_all_rules
+from cardwatch.operators.rules import apply_card_rules, score_all_rules
 from cardwatch.plans import gold, silver
 from cardwatch.streaming import with_simple_flags
 from cardwatch.workload.bindings import (
@@ -33,11 +33,7 @@ def legs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 def unified(spark: SparkSession, sf_dir: str) -> DataFrame:
     batch, landing = legs(spark, sf_dir)
     reference = silver.spending_reference(batch).drop("as_of_date")
-    flagged = (
-        with_simple_flags(landing.join(reference, "client_id", "left"))
-        .transform(apply_velocity_rule)
-        .transform(apply_geo_jump_rule)
-    )
+    flagged = apply_card_rules(with_simple_flags(landing.join(reference, "client_id", "left")))
     return gold.unified_risk(
         silver.fraud_risk(score_all_rules(batch), LOADED_AT),
         batch,
