@@ -1,8 +1,8 @@
 """The per-card state behind the velocity and geo-jump rules on a stream.
 
-State per card is small and typed: how many rows fell into each second of the last window (at most
-one entry per second), and the last place. Rows of a card in one micro-batch are handled as arrays,
-not one by one; the micro-batch bounds them.
+State per card is one small typed value: the last place, and how many rows fell into each second of
+the last window (at most one entry per second). It is read once and written once per micro-batch.
+Rows of a card in one micro-batch are handled as arrays, not one by one; the micro-batch bounds them.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from cardwatch.settings import RuleSettings
 
 # No leading underscore: the rows pass through named tuples, which rename such fields.
 SECOND = "epoch_second"
+STATE = "sec bigint, lat double, lon double, seconds array<bigint>, counts array<bigint>"
 
 
 def distance_km(lat_from, lon_from, lat_to, lon_to):
@@ -37,32 +38,34 @@ class CardHistory(StatefulProcessor):
         self._ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._ticks = handle.getListState("ticks", "sec bigint, n bigint", self._ttl_ms)
-        self._last = handle.getValueState("last", "sec bigint, lat double, lon double", self._ttl_ms)
+        self._state = handle.getValueState("card", STATE, self._ttl_ms)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows), ignore_index=True)
         batch = batch.sort_values([SECOND, "date", "id"], kind="stable", ignore_index=True)
         seconds = batch[SECOND].to_numpy("int64")
-        counts = self._count(seconds)
-        flags = self._judge_moves(
+        before = self._state.get()
+        counts, kept = self._count(seconds, before)
+        flags, last = self._judge_moves(
             seconds,
             batch["merchant_latitude"].to_numpy("float64"),
             batch["merchant_longitude"].to_numpy("float64"),
+            before,
         )
+        self._state.update((*last, *kept))
         scored = batch[self._columns].copy()
         scored["flag_velocity"] = counts >= self._settings.velocity_count
         scored["flag_geo_jump"] = pd.Series(flags, dtype="object")
         yield scored
 
-    def _count(self, seconds: np.ndarray) -> np.ndarray:
-        """Rows of the last window per row, peers of the same second included."""
+    def _count(self, seconds: np.ndarray, before: tuple | None) -> tuple[np.ndarray, tuple]:
+        """Rows of the last window per row, peers of the same second included; what to keep of them."""
         width = self._settings.velocity_window_seconds
-        kept = np.array([tuple(tick) for tick in self._ticks.get()], dtype="int64").reshape(-1, 2)
+        kept_seconds, kept_counts = (np.array(x, dtype="int64") for x in (before[3:] if before else ((), ())))
         new_seconds, new_counts = np.unique(seconds, return_counts=True)
-        merged, where = np.unique(np.concatenate([kept[:, 0], new_seconds]), return_inverse=True)
+        merged, where = np.unique(np.concatenate([kept_seconds, new_seconds]), return_inverse=True)
         sizes = np.zeros(len(merged), dtype="int64")
-        np.add.at(sizes, where, np.concatenate([kept[:, 1], new_counts]))
+        np.add.at(sizes, where, np.concatenate([kept_counts, new_counts]))
 
         running = np.concatenate([[0], np.cumsum(sizes)])
         counts = (
@@ -70,20 +73,21 @@ class CardHistory(StatefulProcessor):
             - running[np.searchsorted(merged, seconds - width, side="left")]
         )
         recent = merged >= merged[-1] - width
-        self._ticks.put([(int(s), int(n)) for s, n in zip(merged[recent], sizes[recent])])
-        return counts
+        return counts, (merged[recent].tolist(), sizes[recent].tolist())
 
-    def _judge_moves(self, seconds: np.ndarray, lat: np.ndarray, lon: np.ndarray) -> list[bool | None]:
-        """True or False; None where the place before is known but no speed can be told."""
+    def _judge_moves(
+        self, seconds: np.ndarray, lat: np.ndarray, lon: np.ndarray, before: tuple | None
+    ) -> tuple[list[bool | None], tuple]:
+        """True or False, or None where the place before is known but no speed can be told; and the
+        card's last place."""
         late = 0
-        if self._last.exists():
-            sec, last_lat, last_lon = self._last.get()
+        if before:
+            sec, last_lat, last_lon = before[:3]
             # Rows older than the last place go before it: they arrived late.
             late = int(np.searchsorted(seconds, sec, side="left"))
             seconds = np.insert(seconds, late, sec)
             lat = np.insert(lat, late, np.nan if last_lat is None else last_lat)
             lon = np.insert(lon, late, np.nan if last_lon is None else last_lon)
-        known = self._last.exists()
 
         hours = np.diff(seconds) / 3600.0
         with np.errstate(divide="ignore", invalid="ignore"):
@@ -95,9 +99,7 @@ class CardHistory(StatefulProcessor):
         ]
         # The card's very first row has nothing before it; a late first row had, but it is forgotten.
         flags = [None if late else False, *moves]
-        if known:
+        if before:
             del flags[late]
-
-        optional = [None if np.isnan(x) else float(x) for x in (lat[-1], lon[-1])]
-        self._last.update((int(seconds[-1]), *optional))
-        return flags
+        place = (None if np.isnan(x) else float(x) for x in (lat[-1], lon[-1]))
+        return flags, (int(seconds[-1]), *place)
