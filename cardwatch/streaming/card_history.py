@@ -1,34 +1,42 @@
 """The per-card state behind the velocity and geo-jump rules on a stream.
 
 State per card is one small typed value: the last place, and how many rows fell into each second of
-the last window (at most one entry per second). It is read once and written once per micro-batch.
-Rows of a card in one micro-batch are handled as arrays, not one by one; the micro-batch bounds them.
+the last window (at most one entry per second). It is read once and written once per micro-batch,
+which also bounds the rows of a card handled at a time. Cards have few rows each, so rows are taken
+as they are; building a pandas frame per card costs many times the rules themselves.
 """
 
 from __future__ import annotations
 
+import math
+from bisect import bisect_left, bisect_right
+from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
-import numpy as np
-import pandas as pd
+from pyspark.sql import Row
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from cardwatch.functions.geo import EARTH_RADIUS_KM
+from cardwatch.operators.history import NO_TIME
 from cardwatch.settings import RuleSettings
 
-# No leading underscore: the rows pass through named tuples, which rename such fields.
-SECOND = "epoch_second"
+# The time of a row in microseconds. No leading underscore: rows are named tuples.
+MICROS = "at_micros"
 STATE = "sec bigint, lat double, lon double, seconds array<bigint>, counts array<bigint>"
 
 
-def distance_km(lat_from, lon_from, lat_to, lon_to):
-    """Great-circle distance over arrays; NaN where a coordinate is."""
-    lat_from, lon_from, lat_to, lon_to = (np.radians(x) for x in (lat_from, lon_from, lat_to, lon_to))
+def distance_km(lat_from: float, lon_from: float, lat_to: float, lon_to: float) -> float:
+    lat_from, lon_from, lat_to, lon_to = map(math.radians, (lat_from, lon_from, lat_to, lon_to))
     chord = (
-        np.sin((lat_to - lat_from) / 2) ** 2
-        + np.cos(lat_from) * np.cos(lat_to) * np.sin((lon_to - lon_from) / 2) ** 2
+        math.sin((lat_to - lat_from) / 2) ** 2
+        + math.cos(lat_from) * math.cos(lat_to) * math.sin((lon_to - lon_from) / 2) ** 2
     )
-    return 2 * EARTH_RADIUS_KM * np.arcsin(np.sqrt(np.minimum(chord, 1.0)))
+    return 2 * EARTH_RADIUS_KM * math.asin(math.sqrt(min(chord, 1.0)))
+
+
+def second_of(row: Row) -> int:
+    return NO_TIME if row[MICROS] is None else row[MICROS] // 1_000_000
 
 
 class CardHistory(StatefulProcessor):
@@ -40,66 +48,55 @@ class CardHistory(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._state = handle.getValueState("card", STATE, self._ttl_ms)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows), ignore_index=True)
-        batch = batch.sort_values([SECOND, "date", "id"], kind="stable", ignore_index=True)
-        seconds = batch[SECOND].to_numpy("int64")
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        batch = sorted(rows, key=lambda row: (second_of(row), row[MICROS] or 0, row["id"]))
         before = self._state.get()
-        counts, kept = self._count(seconds, before)
-        flags, last = self._judge_moves(
-            seconds,
-            batch["merchant_latitude"].to_numpy("float64"),
-            batch["merchant_longitude"].to_numpy("float64"),
-            before,
-        )
+        ticks = Counter(dict(zip(before[3], before[4]))) if before else Counter()
+        seconds = [second_of(row) for row in batch]
+        ticks.update(seconds)
+        counts, kept = self._count(seconds, ticks)
+        moves, last = self._judge_moves(seconds, batch, before)
         self._state.update((*last, *kept))
-        scored = batch[self._columns].copy()
-        scored["flag_velocity"] = counts >= self._settings.velocity_count
-        scored["flag_geo_jump"] = pd.Series(flags, dtype="object")
-        yield scored
+        scored = Row(*self._columns, "flag_velocity", "flag_geo_jump")
+        for row, count, jumped in zip(batch, counts, moves):
+            fast = count >= self._settings.velocity_count
+            yield scored(*[row[name] for name in self._columns], fast, jumped)
+
+    def close(self) -> None:
+        pass
 
-    def _count(self, seconds: np.ndarray, before: tuple | None) -> tuple[np.ndarray, tuple]:
-        """Rows of the last window per row, peers of the same second included; what to keep of them."""
+    def _count(self, seconds: list[int], ticks: Counter) -> tuple[list[int], tuple[list[int], list[int]]]:
+        """Rows of the last window per row, peers of the same second included; the ticks to keep."""
         width = self._settings.velocity_window_seconds
-        kept_seconds, kept_counts = (np.array(x, dtype="int64") for x in (before[3:] if before else ((), ())))
-        new_seconds, new_counts = np.unique(seconds, return_counts=True)
-        merged, where = np.unique(np.concatenate([kept_seconds, new_seconds]), return_inverse=True)
-        sizes = np.zeros(len(merged), dtype="int64")
-        np.add.at(sizes, where, np.concatenate([kept_counts, new_counts]))
-
-        running = np.concatenate([[0], np.cumsum(sizes)])
-        counts = (
-            running[np.searchsorted(merged, seconds, side="right")]
-            - running[np.searchsorted(merged, seconds - width, side="left")]
-        )
-        recent = merged >= merged[-1] - width
-        return counts, (merged[recent].tolist(), sizes[recent].tolist())
+        known = sorted(ticks)
+        running = [0, *accumulate(ticks[sec] for sec in known)]
+        counts = [
+            running[bisect_right(known, sec)] - running[bisect_left(known, sec - width)] for sec in seconds
+        ]
+        recent = known[bisect_left(known, known[-1] - width) :]
+        return counts, (recent, [ticks[sec] for sec in recent])
 
     def _judge_moves(
-        self, seconds: np.ndarray, lat: np.ndarray, lon: np.ndarray, before: tuple | None
+        self, seconds: list[int], batch: list[Row], before: tuple | None
     ) -> tuple[list[bool | None], tuple]:
         """True or False, or None where the place before is known but no speed can be told; and the
         card's last place."""
+        points = [(sec, row["merchant_latitude"], row["merchant_longitude"]) for sec, row in zip(seconds, batch)]
         late = 0
         if before:
-            sec, last_lat, last_lon = before[:3]
             # Rows older than the last place go before it: they arrived late.
-            late = int(np.searchsorted(seconds, sec, side="left"))
-            seconds = np.insert(seconds, late, sec)
-            lat = np.insert(lat, late, np.nan if last_lat is None else last_lat)
-            lon = np.insert(lon, late, np.nan if last_lon is None else last_lon)
-
-        hours = np.diff(seconds) / 3600.0
-        with np.errstate(divide="ignore", invalid="ignore"):
-            speed = np.where(hours > 0, distance_km(lat[:-1], lon[:-1], lat[1:], lon[1:]) / hours, np.nan)
-        placed = ~np.isnan(lat[:-1])
-        moves: list[bool | None] = [
-            None if had_place and np.isnan(kmh) else bool(had_place and kmh > self._settings.max_speed_kmh)
-            for had_place, kmh in zip(placed, speed)
-        ]
+            late = bisect_left(seconds, before[0])
+            points.insert(late, tuple(before[:3]))
         # The card's very first row has nothing before it; a late first row had, but it is forgotten.
-        flags = [None if late else False, *moves]
+        flags = [None if late else False, *map(self._judge, points, points[1:])]
         if before:
             del flags[late]
-        place = (None if np.isnan(x) else float(x) for x in (lat[-1], lon[-1]))
-        return flags, (int(seconds[-1]), *place)
+        return flags, points[-1]
+
+    def _judge(self, previous: tuple, present: tuple) -> bool | None:
+        elapsed = present[0] - previous[0]
+        if previous[1] is None:
+            return False
+        if elapsed <= 0 or previous[0] == NO_TIME or None in (*previous, *present):
+            return None
+        return distance_km(*previous[1:], *present[1:]) / (elapsed / 3600.0) > self._settings.max_speed_kmh

@@ -9,13 +9,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cardwatch.functions.cleaning import epoch_seconds
 from cardwatch.functions.scoring import with_risk_columns
-from cardwatch.operators.history import NO_TIME
 from cardwatch.operators.rules import apply_amount_rule
 from cardwatch.plans.silver import fraud_risk_streaming
 from cardwatch.settings import DEFAULTS, RuleSettings
-from cardwatch.streaming.card_history import SECOND, CardHistory
+from cardwatch.streaming.card_history import MICROS, CardHistory
 
 LANDING_SCHEMA = (
     "id string, date timestamp, client_id string, card_id string, "
@@ -76,25 +74,28 @@ def score_card_state(
     """
     ttl_ms = None if idle_seconds is None else idle_seconds * 1000
     schema = flagged.schema
-    # pandas would turn whole numbers with NULLs among them into floats.
-    whole = [f for f in schema.fields if isinstance(f.dataType, T.IntegralType) and f.name != "id"]
-    rows = flagged.withColumns(
-        {
-            CARD: F.coalesce(F.concat(F.lit("k"), F.col("card_id").cast("string")), F.lit("null")),
-            SECOND: F.coalesce(epoch_seconds("date"), F.lit(NO_TIME)),
-        }
-    ).withColumns({f.name: F.col(f.name).cast("string") for f in whole})
+    carried = [name for name in schema.names if name != "date"]
+    # The time goes through Python as a number, so that no time zone is applied on the way.
+    rows = flagged.select(
+        *carried,
+        F.unix_micros(F.col("date").cast("timestamp")).alias(MICROS),
+        F.coalesce(F.concat(F.lit("k"), F.col("card_id").cast("string")), F.lit("null")).alias(CARD),
+    )
     output = T.StructType(
-        [rows.schema[f.name] for f in schema.fields]
+        [T.StructField(name, schema[name].dataType) for name in carried]
+        + [T.StructField(MICROS, T.LongType())]
         + [T.StructField(name, T.BooleanType()) for name in ("flag_velocity", "flag_geo_jump")]
     )
-    scored = rows.groupBy(CARD).transformWithStateInPandas(
-        statefulProcessor=CardHistory(settings, schema.names, ttl_ms),
+    scored = rows.groupBy(CARD).transformWithState(
+        statefulProcessor=CardHistory(settings, [*carried, MICROS], ttl_ms),
         outputStructType=output,
         outputMode="append",
         timeMode="none" if ttl_ms is None else "processingTime",
     )
-    return scored.withColumns({f.name: F.col(f.name).cast(f.dataType) for f in whole})
+    moment = F.timestamp_micros(MICROS).cast(schema["date"].dataType).alias("date")
+    return scored.select(
+        *[moment if name == "date" else F.col(name) for name in schema.names], "flag_velocity", "flag_geo_jump"
+    )
 
 
 def score_stream(
