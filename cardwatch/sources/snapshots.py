@@ -20,11 +20,13 @@ class SnapshotTable:
     spark: SparkSession
     root: str
 
-    def publish(self, df: DataFrame, committed_at: datetime, note: str = "") -> int:
+    def publish(
+        self, df: DataFrame, committed_at: datetime, note: str = "", partition_by: Sequence[str] = ()
+    ) -> int:
         """Write the next version, then its manifest row. Readers see it only after the second."""
         latest = self.history().agg(F.max("version")).first()[0]
         version = 0 if latest is None else latest + 1
-        df.write.mode("overwrite").parquet(self._data(version))
+        df.write.mode("overwrite").partitionBy(*partition_by).parquet(self._data(version))
         row = self.spark.createDataFrame([(version, committed_at, note)], MANIFEST)
         row.coalesce(1).write.mode("append").parquet(f"{self.root}/manifest")
         return version
@@ -48,6 +50,10 @@ class SnapshotTable:
             raise ValueError(f"no such version of {self.root}")
         return self.spark.read.parquet(self._data(found))
 
+    def read_if_any(self) -> DataFrame | None:
+        """The newest version, or None before the first publish."""
+        return self.read() if self.history().take(1) else None
+
     def read_versions(self, versions: Sequence[int]) -> DataFrame:
         """Several versions in one scan, with their number in ``version``; others are not opened."""
         everything = self.spark.read.option("basePath", f"{self.root}/data").parquet(

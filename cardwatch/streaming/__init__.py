@@ -1,4 +1,5 @@
 from cardwatch.streaming.scoring import (
+    LANDING_SCHEMA,
     enrich_stream,
     read_landing,
     run_available,
@@ -9,6 +10,7 @@ from cardwatch.streaming.scoring import (
 )
 
 __all__ = [
+    "LANDING_SCHEMA",
     "enrich_stream",
     "read_landing",
     "run_available",
