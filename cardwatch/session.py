@@ -37,12 +37,12 @@ def shared_folder(spark: SparkSession) -> str:
     Only where neither that setting nor a checkpoint folder is set, as in tests, is a temporary
     folder made and registered as the session's checkpoint folder.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        configured = spark.sparkContext.getCheckpointDir()
+    context = spark.sparkContext
+    configured = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not configured:
         configured = tempfile.mkdtemp(prefix="cardwatch-")
-        spark.sparkContext.setCheckpointDir(configured)
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(configured)
     return configured.rstrip("/")
 
 
