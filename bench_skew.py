@@ -3,6 +3,7 @@
     python bench_skew.py [sf_dir] [minutes the rows spread over]
 
 The rows are the line items; the plain windows are what one would write without thinking of skew.
+Their deviation rule takes many minutes beyond sf0.01.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from cardwatch.functions import haversine_km
 from cardwatch.operators import apply_geo_jump_rule, apply_spending_deviation_rule, apply_velocity_rule
-from cardwatch.session import local_session
+from cardwatch.session import fresh_folder, local_session
 
 
 def fact(spark, sf_dir, minutes):
@@ -56,7 +57,7 @@ def seconds(df) -> float:
 
 def main(sf_dir: str, minutes: int) -> None:
     spark = local_session(spark__ui__showConsoleProgress="false")
-    path = f"{__import__('tempfile').mkdtemp(prefix='skew-')}/fact"
+    path = fresh_folder(spark, "skew")
     fact(spark, sf_dir, minutes).repartition(8).write.parquet(path)
     df = spark.read.parquet(path)
     print(f"{df.count()} rows over {minutes} minutes, {df.filter('card_id = -1').count()} of one card")
@@ -70,4 +71,4 @@ def main(sf_dir: str, minutes: int) -> None:
 
 
 if __name__ == "__main__":
-    main(sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.1", int(sys.argv[2]) if len(sys.argv) > 2 else 43200)
+    main(sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01", int(sys.argv[2]) if len(sys.argv) > 2 else 43200)
