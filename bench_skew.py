@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from cardwatch.functions import haversine_km
 from cardwatch.operators import apply_geo_jump_rule, apply_spending_deviation_rule, apply_velocity_rule
-from cardwatch.session import fresh_folder, local_session
+from cardwatch.session import ensure_shared_folder, fresh_folder, local_session
 
 
 def fact(spark, sf_dir, minutes):
@@ -57,6 +57,7 @@ def seconds(df) -> float:
 
 def main(sf_dir: str, minutes: int) -> None:
     spark = local_session(spark__ui__showConsoleProgress="false")
+    ensure_shared_folder(spark)
     path = fresh_folder(spark, "skew")
     fact(spark, sf_dir, minutes).repartition(8).write.parquet(path)
     df = spark.read.parquet(path)

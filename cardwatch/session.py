@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -32,20 +31,23 @@ def local_session(master: str = "local[8]", shuffle_partitions: int = 8, **conf:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder, ``spark.checkpoint.dir``.
-
-    Only where neither that setting nor a checkpoint folder is set, as in tests, is a temporary
-    folder made and registered as the session's checkpoint folder.
-    """
+    """The cluster's shared folder, ``spark.checkpoint.dir``; raises where none is set."""
     context = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not configured:
-        configured = tempfile.mkdtemp(prefix="cardwatch-")
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not context.getCheckpointDir():
         context.setCheckpointDir(configured)
     return configured.rstrip("/")
 
 
+def ensure_shared_folder(spark: SparkSession) -> None:
+    """For entry points: where no shared folder is set, take one below the session's warehouse."""
+    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
+        warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        spark.sparkContext.setCheckpointDir(f"{warehouse}/_checkpoints")
+
+
 def fresh_folder(spark: SparkSession, name: str) -> str:
     """A new, unused path below the shared folder."""
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
