@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardwatch.llm import packing
+from cardwatch.llm import packing, sharding, simhash, sql
 
 
 @dataclass(frozen=True)
@@ -38,3 +38,15 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select(
         "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", F.col("offset").alias("offset")
     )
+
+
+@query("op4_jump_hash_shards", sql.SHARDS)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.sharded_digest(table(spark, sf_dir, "documents"), shards=24)
+    return placed.withColumn("law", F.lit("key"))
+
+
+@query("op5_covering_simhash")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = simhash.simhash_groups(table(spark, sf_dir, "documents"), words=3, radius=3)
+    return groups.select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
