@@ -62,7 +62,7 @@ def fingerprint(text: str | None, words: int = 3) -> int:
     ones = np.zeros(BITS, np.int64)
     for at in range(0, len(hashes), CHUNK):
         part = hashes[at : at + CHUNK].view(np.uint8).reshape(-1, 8)
-        ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0)
+        ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     majority = ones * 2 > len(hashes)
     return int(np.packbits(majority, bitorder="little").view("<u8")[0])
 
