@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cardwatch.llm.common import written
+
 #: Multiplier of the sequence, and the range of the numbers drawn from it.
 MULTIPLIER = 2862933555777941757
 DRAWS = 2.0**31
@@ -84,9 +86,9 @@ def _product_low(a: Column, b: Column) -> Column:
 def sharded_digest(docs: DataFrame, shards: int, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """doc_id, size, text_crc32, shard, slot and the shard with one shard more, for every row.
 
-    Texts are read but not shuffled. One count of the rows sets the number of buckets.
+    Texts are read once and not shuffled: the digests are written, and the number of rows sets the
+    number of buckets.
     """
-    buckets = max(1, -(-docs.count() // (shards * bucket_rows)))
     text = F.encode(F.coalesce(F.col("text").cast("string"), F.lit("")), "UTF-8")
     digests = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
@@ -94,17 +96,13 @@ def sharded_digest(docs: DataFrame, shards: int, bucket_rows: int = BUCKET_ROWS)
         F.crc32(text).alias("text_crc32"),
     )
     key = stable_key(digests, "doc_id")
-    counted = (
-        digests.groupBy("doc_id", "size", "text_crc32")
-        .agg(F.count(F.lit(1)).alias("copies"))
-        .withColumns(
-            {
-                "shard": jump_shard(key, shards),
-                "grown_shard": jump_shard(key, shards + 1),
-                "bucket": F.pmod(first_number(key) + F.col("text_crc32"), F.lit(buckets)),
-            }
-        )
+    alike = digests.groupBy("doc_id", "size", "text_crc32").agg(F.count(F.lit(1)).alias("copies"))
+    sharded = written(
+        alike.withColumns({"shard": jump_shard(key, shards), "grown_shard": jump_shard(key, shards + 1)}), "digests"
     )
+    rows = sharded.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
+    buckets = max(1, -(-rows // (shards * bucket_rows)))
+    counted = sharded.withColumn("bucket", F.pmod(first_number(key) + F.col("text_crc32"), F.lit(buckets)))
     in_bucket = Window.partitionBy("shard", "bucket").orderBy("doc_id", "size", "text_crc32")
     in_shard = Window.partitionBy("shard").orderBy("bucket")
     starts = (
