@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardwatch.llm import packing, sharding, simhash, sql
+from cardwatch.llm import decontam, licenses, packing, sharding, simhash, sql
 
 
 @dataclass(frozen=True)
@@ -50,3 +50,24 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.simhash_groups(table(spark, sf_dir, "documents"), words=3, radius=3)
     return groups.select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
+
+
+@query("op3_pigeonhole_decontamination")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op6_license_set_join", sql.LICENSES)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scanned(table(spark, sf_dir, "documents"))
+    base = F.array_distinct("places.label")
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size("places").cast("long").alias("n_base"),
+        F.array_min("places.word").alias("first_word"),
+        F.array_max("places.word").alias("last_word"),
+        F.array_join(F.array_sort(base), ",").alias("base_labels"),
+        F.array_join(F.array_sort(F.array_union(base, "labels")), ",").alias("labels"),
+        "score",
+    )

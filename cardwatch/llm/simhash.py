@@ -34,12 +34,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cardwatch.llm.common import rows_of, written
+from cardwatch.llm.common import lower_ascii, rows_of, written
 
 BITS = 64
 SEED = 42
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-LOWER_ASCII = {code: code + 32 for code in range(ord("A"), ord("Z") + 1)}
 #: Distinct fingerprints of one cell up to which it is not cut again.
 CELL = 2048
 #: Hashes counted at a time, which bounds the memory for very long texts.
@@ -48,7 +47,7 @@ CHUNK = 65_536
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
     """XXH64 of every word shingle, repeats included."""
-    found = WORD.findall((text or "").translate(LOWER_ASCII))
+    found = WORD.findall(lower_ascii(text or ""))
     if not found:
         return np.empty(0, "<u8")
     shingles = map(" ".join, zip(*(found[k:] for k in range(min(words, len(found))))))

@@ -1,5 +1,7 @@
 """SQL for the queries that SQL can express, as DuckDB runs it."""
 
+from cardwatch.llm.licenses import templates
+
 #: Jump consistent hashing with 64-bit arithmetic in HUGEINT, and CRC-32 from a table made by its rule.
 SHARDS = """
 WITH RECURSIVE
@@ -43,3 +45,48 @@ FROM digests d
 JOIN shards s ON d.doc_id IS NOT DISTINCT FROM s.doc_id
 JOIN firsts f ON d.doc_id IS NOT DISTINCT FROM f.doc_id, buckets k
 """
+
+
+def _licenses() -> str:
+    """Every block of every template, without filters."""
+    rows = ",\n    ".join(
+        f"({k}, '{t.label}', {str(t.base).lower()}, {t.need}, {[*t.phrase]})" for k, t in enumerate(templates())
+    )
+    return f"""
+WITH templates(k, label, base, need, phrase) AS (VALUES
+    {rows}),
+sized AS (SELECT *, len(phrase)::BIGINT AS step, len(list_distinct(phrase)) AS size FROM templates),
+texts AS (
+  SELECT row_number() OVER () AS line, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words
+  FROM documents),
+spread AS (
+  SELECT line, unnest(words) AS word, generate_subscripts(words, 1) - 1 AS pos FROM texts),
+template_words AS (SELECT DISTINCT k, unnest(phrase) AS word FROM sized),
+held AS (
+  SELECT s.line, t.k, b.block, count(DISTINCT s.word) AS n
+  FROM spread s JOIN template_words w USING (word) JOIN sized t USING (k),
+       LATERAL (SELECT unnest([s.pos // t.step, s.pos // t.step - 1]) AS block) b
+  WHERE b.block >= 0
+  GROUP BY ALL),
+met AS (
+  SELECT line, list(DISTINCT label) AS labels, max(n / size) AS score
+  FROM held JOIN sized USING (k) WHERE NOT base AND n >= need GROUP BY line),
+places AS (
+  SELECT s.line, s.pos, t.label
+  FROM spread s JOIN sized t ON t.base AND s.word = t.phrase[1]
+  JOIN texts x ON x.line = s.line AND x.words[s.pos + 1 : s.pos + t.step] = t.phrase),
+based AS (
+  SELECT line, count(*) AS n, min(pos) AS first, max(pos) AS last, list(DISTINCT label) AS labels
+  FROM places GROUP BY line)
+SELECT x.doc_id, len(x.words)::BIGINT AS n_words, coalesce(b.n, 0) AS n_base,
+       b.first AS first_word, b.last AS last_word,
+       array_to_string(list_sort(coalesce(b.labels, [])), ',') AS base_labels,
+       array_to_string(list_sort(list_distinct(list_concat(coalesce(b.labels, []), coalesce(m.labels, [])))), ',') AS labels,
+       greatest(coalesce(m.score, 0), CASE WHEN b.n > 0 THEN 1.0::DOUBLE ELSE 0 END)::DOUBLE AS score
+FROM texts x LEFT JOIN met m USING (line) LEFT JOIN based b USING (line)
+"""
+
+
+LICENSES = _licenses()
