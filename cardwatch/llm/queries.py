@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardwatch.llm import decontam, licenses, packing, sharding, simhash, sql
+from cardwatch.llm import decontam, langid, licenses, packing, sharding, simhash, sql
 
 
 @dataclass(frozen=True)
@@ -71,3 +71,8 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_join(F.array_sort(F.array_union(base, "labels")), ",").alias("labels"),
         "score",
     )
+
+
+@query("op7_ftrl_language_id")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identified(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
