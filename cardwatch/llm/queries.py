@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardwatch.llm import decontam, langid, licenses, packing, sharding, simhash, sql
+from cardwatch.llm import decontam, langid, licenses, packing, sharding, simhash, sql, toxicity
 
 
 @dataclass(frozen=True)
@@ -76,3 +76,15 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_ftrl_language_id")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identified(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query("op9_deobfuscated_toxicity")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.trained(docs, toxicity.learnable(table(spark, sf_dir, "labels")))
+    return toxicity.scores(docs, model).select(
+        "doc_id",
+        F.coalesce(langid.remainder("doc_id", 4) == 2, F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+    )
