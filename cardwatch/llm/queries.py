@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardwatch.llm import decontam, langid, licenses, packing, sharding, simhash, sql, toxicity
+from cardwatch.llm import decontam, langid, licenses, packing, pii, sharding, simhash, sql, toxicity
 
 
 @dataclass(frozen=True)
@@ -88,3 +88,11 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
         "score",
         (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
     )
+
+
+@query("op10_feistel_pseudonyms")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", pii.replaced_kinds("text").alias("kinds"))
+    return pii.pseudonymized(docs).select(
+        "doc_id", "text", F.size("kinds").alias("n_replaced"), F.array_join("kinds", ",").alias("kinds")
+    )
