@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardwatch.llm import decontam, langid, licenses, packing, pii, sharding, simhash, sql, toxicity
+from cardwatch.llm import decontam, langid, licenses, lmscore, packing, pii, sharding, simhash, sql, topk, toxicity
 
 
 @dataclass(frozen=True)
@@ -96,3 +96,14 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymized(docs).select(
         "doc_id", "text", F.size("kinds").alias("n_replaced"), F.array_join("kinds", ",").alias("kinds")
     )
+
+
+@query("op2_kd_tree_top_k", sql.TOP_K)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk.quantized(table(spark, sf_dir, "embeddings"), scale=64.0)
+    return topk.top_k(vectors, F.col("vec_id") % 20 == 0, k=20)
+
+
+@query("op8_cross_entropy_difference")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lmscore.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

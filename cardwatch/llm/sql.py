@@ -46,6 +46,21 @@ JOIN shards s ON d.doc_id IS NOT DISTINCT FROM s.doc_id
 JOIN firsts f ON d.doc_id IS NOT DISTINCT FROM f.doc_id, buckets k
 """
 
+#: Every query against every row.
+TOP_K = """
+WITH whole AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scores AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+         list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i]))::BIGINT AS score
+  FROM whole q JOIN whole c ON q.vec_id % 20 = 0 AND q.vec_id IS DISTINCT FROM c.vec_id)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scores)
+WHERE rank <= 20
+"""
+
 
 def _licenses() -> str:
     """Every block of every template, without filters."""
