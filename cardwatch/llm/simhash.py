@@ -243,5 +243,6 @@ def near_duplicates_removed(docs: DataFrame, words: int = 3, radius: int = 3) ->
     """
     groups = simhash_groups(docs.filter(F.col("doc_id").isNotNull()), words, radius)
     dropped = groups.filter("doc_id <> component_id").select("doc_id").distinct()
-    named = docs.filter(F.col("doc_id").isNotNull()).join(dropped, "doc_id", "left_anti")
+    # The same join at every size; rows then lie by doc_id, which the next step needs anyway.
+    named = docs.filter(F.col("doc_id").isNotNull()).join(dropped.hint("shuffle_hash"), "doc_id", "left_anti")
     return named.dropDuplicates(["doc_id"]).select(*docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))

@@ -89,7 +89,7 @@ def trained(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> ToxicityM
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([r[0] for r in rows], pa.int32()),
-                    pa.array([_sketch(own) for own in words], pa.int64()),
+                    pa.array([_sketch(text or "") for _, text in rows], pa.int64()),
                     pa.array([sorted(features(own)) for own in words], pa.list_(pa.string())),
                 ],
                 names=["label", "sketch", "features"],
@@ -131,9 +131,11 @@ def trained(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> ToxicityM
     return ToxicityModel(restorer, {names[k]: w for k, w in weight.items() if k}, weight[0] + shift)
 
 
-def _sketch(words: set[str]) -> int:
-    """Near copies mostly share it, so that they do not count as so many documents."""
-    return min((zlib.crc32(word.encode("utf-8", "surrogatepass")) for word in words), default=0)
+def _sketch(text: str) -> int:
+    """Least hash of the word triples: near copies mostly share it, so they do not count as so many."""
+    words = text.split()
+    triples = zip(words, words[1:], words[2:], strict=False) if len(words) > 2 else [words]
+    return min(zlib.crc32(" ".join(triple).encode("utf-8", "surrogatepass")) for triple in triples)
 
 
 def _fitted(rows: list[tuple[int, list[int]]], names: list[str]) -> tuple[np.ndarray, float | None]:
