@@ -23,12 +23,17 @@ def as_column(value: str | Column) -> Column:
 
 
 def parse_currency(value: str | Column) -> Column:
-    """``$59,696.00`` to a double; NULL where no number is left."""
-    return F.regexp_replace(as_column(value), "[$,]", "").try_cast("double")
+    """``$59,696.00`` to a double; NULL where no finite number is left."""
+    number = F.regexp_replace(as_column(value), "[$,]", "").try_cast("double")
+    return F.when(F.abs(number) < float("inf"), number)
 
 
 def clean_zip(value: str | Column) -> Column:
-    """``2134.0`` or ``501`` to a five-character code; NULL where it is no number."""
+    """``2134.0`` or ``501`` to a five-character code; NULL where it is no number.
+
+    Of a longer number the first five digits are kept, as the contract of the raw files has it, so
+    ``123456`` and ``123450`` become one code.
+    """
     whole = as_column(value).try_cast("double").try_cast("bigint")
     return F.lpad(whole.cast("string"), 5, "0")
 

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
-from operator import add
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,15 +15,21 @@ def with_risk_columns(
 ) -> DataFrame:
     """Add ``fraud_flag``, ``risk_reason`` and ``risk_score``.
 
-    A flag that could not be judged (NULL) adds no points and no reason; ``fraud_flag`` is NULL
-    only where every flag is.
+    All three follow from the list of rules that fired. A flag that could not be judged (NULL) adds
+    no points and no reason; ``fraud_flag`` is NULL only where every flag is.
     """
-    fired = [F.when(F.col(flag), F.lit(flag.removeprefix("flag_"))) for flag in flags]
-    points = [F.coalesce(F.col(flag).cast("int"), F.lit(0)) for flag in flags]
-    return df.withColumns(
-        {
-            "fraud_flag": F.greatest(*[F.col(flag).cast("int") for flag in flags]).cast("boolean"),
-            "risk_reason": F.nullif(F.concat_ws(", ", *fired), F.lit("")),
-            "risk_score": (reduce(add, points) * settings.points_per_rule).cast("int"),
-        }
+    names = F.array_compact(
+        F.array(*[F.when(F.col(flag), F.lit(flag.removeprefix("flag_"))) for flag in flags])
+    )
+    judged = F.coalesce(*[F.col(flag) for flag in flags]).isNotNull()
+    return (
+        df.withColumn("_fired", names)
+        .withColumns(
+            {
+                "fraud_flag": F.when(judged, F.size("_fired") > 0),
+                "risk_reason": F.when(F.size("_fired") > 0, F.array_join("_fired", ", ")),
+                "risk_score": F.size("_fired") * settings.points_per_rule,
+            }
+        )
+        .drop("_fired")
     )

@@ -1,15 +1,11 @@
 """A key's past, laid out so that no task has to hold a busy key.
 
 A plain ``Window.partitionBy(key)`` puts everything a key ever did into one task, and a moving
-RANGE frame is summed anew for every row. For most keys that is the cheapest plan: one shuffle. With
-a key that holds a third of all rows neither works. So keys are weighed first, by counts that
-combine on the map side, and those above a limit (*busy* keys) take another way, with equal results:
-
-1. *Lanes*: the rows of a busy key are spread over one lane per second, so a window over key and lane
-   sees only rows of one second. Other keys have one lane. Nothing else changes for the rows: they
-   are shuffled once, by key and lane.
-2. *Ticks*: for the busy keys, rows are combined to one per key and second before any shuffle.
-3. *Slices*: the time line of the ticks is cut into slices as long as the trailing window. Every tick
+RANGE frame is summed anew for every row. With a key that holds a third of all rows neither works. So
+all keys take the same way, whatever their volume, and no job runs to find out which keys are busy:
+
+1. *Ticks*: rows are combined to one per key and second before any shuffle.
+2. *Slices*: the time line of the ticks is cut into slices as long as the trailing window. Every tick
    is put into its own slice as an arrival and into the next one, moved by the window length, as a
    departure. The trailing total at second ``t`` is then
 
@@ -17,8 +13,9 @@ combine on the map side, and those above a limit (*busy* keys) take another way,
 
    Both are running sums (linear, no subtraction, so doubles do not cancel). A window group has at
    most two rows per second of the window, whatever the key's volume.
-4. The totals come back to the rows by a left join on key and lane, for which the rows are already
-   where they must be.
+3. The totals come back to the rows by a left join on key and second. The side of the totals has one
+   row for each, so the adaptive skew join can split a second that holds very many rows, such as a
+   day of a busy customer where times are dates only.
 """
 
 from __future__ import annotations
@@ -29,90 +26,47 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from cardwatch.functions.cleaning import epoch_seconds
-from cardwatch.settings import RuleSettings
 
-KEY, SECOND, SLICE, LANE = "_key", "_sec", "_slice", "_lane"
-# The same as SECOND, but NULL for rows without a time, as window frames want it.
+KEY, SECOND, SLICE = "_key", "_sec", "_slice"
+# The same as SECOND, but NULL for rows without a time.
 WHEN = "_when"
 
 # Stands for "no timestamp": outside the range of Spark timestamps, far from overflow.
 NO_TIME = -(2**62)
 
-# More busy keys than this are not listed one by one: then every key is treated as busy.
-MOST_BUSY_KEYS = 1000
-
 
 class Timeline:
-    """The rows of ``df`` with the columns by which windows and joins follow a key's past.
-
-    ``skewed`` says whether there are busy keys: False for none, True to treat every key as busy,
-    None to find out, which runs a job over the key and time columns.
-    """
+    """The rows of ``df`` with the columns by which windows and joins follow a key's past."""
 
-    def __init__(
-        self, df: DataFrame, key: str, moment: str, width: int, settings: RuleSettings, skewed: bool | None = None
-    ):
+    def __init__(self, df: DataFrame, key: str, moment: str, width: int):
         self.width = width
         self._key, self._moment = key, moment
-        if skewed is None:
-            self._busy = busy_keys(_keyed(df, key, moment), width, settings)
-        else:
-            self._busy = None if skewed else []
         self.rows = self.follow(df)
 
-    @property
-    def has_busy_keys(self) -> bool:
-        return self._busy is None or len(self._busy) > 0
-
-    def _is_busy(self) -> Column:
-        return F.lit(True) if self._busy is None else F.col(KEY).isin(self._busy)
-
     def follow(self, df: DataFrame) -> DataFrame:
-        """The key, time and lane columns on another frame of the same rows."""
-        if not self.has_busy_keys:
-            return df.withColumns({WHEN: epoch_seconds(self._moment), LANE: F.col(self._key)})
-        lane = F.when(self._is_busy(), F.col(SECOND)).otherwise(F.lit(0))
-        return _keyed(df, self._key, self._moment).withColumn(LANE, lane)
-
-    def window(self) -> WindowSpec:
-        return Window.partitionBy(KEY, LANE) if self.has_busy_keys else Window.partitionBy(LANE)
-
-    def busy_rows(self) -> DataFrame:
-        """The rows of busy keys, to make ticks of."""
-        return self.rows if self._busy is None else self.rows.filter(self._is_busy())
-
-    def recall(self, rows: DataFrame, history: DataFrame) -> DataFrame:
-        """Give the rows of busy keys what is known of their second; NULL for the others."""
-        return rows.join(history.withColumnRenamed(SECOND, LANE), [KEY, LANE], "left")
-
-
-def _keyed(df: DataFrame, key: str, moment: str) -> DataFrame:
-    """Add key and second without NULLs, so that plain equality joins them. NULL is a key."""
-    when = epoch_seconds(moment)
-    return df.withColumns(
-        {
-            KEY: F.coalesce(F.concat(F.lit("k"), F.col(key).cast("string")), F.lit("null")),
-            WHEN: when,
-            SECOND: F.coalesce(when, F.lit(NO_TIME)),
-        }
-    )
-
-
-def busy_keys(keyed: DataFrame, width: int, settings: RuleSettings) -> list[str] | None:
-    """Keys too large for one task, or whose frames are too long to sum for every row.
-
-    None if there are too many to list.
-    """
-    per_slice = keyed.withColumn(SLICE, slice_start(width)).groupBy(KEY, SLICE).agg(F.count(F.lit(1)).alias("n"))
-    rows, squares = F.sum("n"), F.sum(F.col("n").cast("double") * F.col("n"))
-    found = (
-        per_slice.groupBy(KEY)
-        .agg(rows.alias("rows"), (squares / rows).alias("frame"))
-        .filter((F.col("rows") > settings.busy_key_rows) | (F.col("frame") > settings.busy_frame_rows))
-        .select(KEY)
-        .take(MOST_BUSY_KEYS + 1)
-    )
-    return [row[KEY] for row in found] if len(found) <= MOST_BUSY_KEYS else None
+        """Key and second without NULLs, so that plain equality joins them. NULL is a key."""
+        when = epoch_seconds(self._moment)
+        return df.withColumns(
+            {
+                KEY: F.coalesce(F.concat(F.lit("k"), F.col(self._key).cast("string")), F.lit("null")),
+                WHEN: when,
+                SECOND: F.coalesce(when, F.lit(NO_TIME)),
+            }
+        )
+
+    def ticks(self, *totals: Column) -> DataFrame:
+        """One row per key and second."""
+        return self.rows.groupBy(KEY, SECOND).agg(*totals)
+
+    @staticmethod
+    def second() -> WindowSpec:
+        """The rows of one key and second: what only an order inside the second can tell apart."""
+        return Window.partitionBy(KEY, SECOND)
+
+    @staticmethod
+    def recall(rows: DataFrame, history: DataFrame) -> DataFrame:
+        """Give the rows what is known of their second."""
+        return rows.join(history, [KEY, SECOND], "left")
 
 
 def slice_start(width: int) -> Column:
@@ -169,13 +123,13 @@ def trailing_history(
     )
 
 
-def slice_tails(keyed: DataFrame, width: int, value: Column, order: Sequence[Column]) -> DataFrame:
-    """The last row of every key and slice, as ``_tail`` with the fields (``at``, ``was``)."""
-    tail = F.struct(F.col(SECOND).alias("at"), value.alias("was"))
+def slice_tails(ticks: DataFrame, width: int, last: str) -> DataFrame:
+    """The last tick of every key and slice, as ``_tail`` with the fields (``at``, ``was``)."""
+    tail = F.struct(F.col(SECOND).alias("at"), F.col(last).alias("was"))
     return (
-        keyed.withColumn(SLICE, slice_start(width))
+        ticks.withColumn(SLICE, slice_start(width))
         .groupBy(KEY, SLICE)
-        .agg(F.max_by(tail, F.struct(*order)).alias("_tail"))
+        .agg(F.max_by(tail, SECOND).alias("_tail"))
     )
 
 

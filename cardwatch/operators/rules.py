@@ -1,8 +1,7 @@
 """The four explainable risk rules over a whole table of transactions.
 
 How a key's past is reached without holding a busy key in one task is told in
-:mod:`cardwatch.operators.history`. The rules that need it take ``skewed``: None finds out by a
-job over the key and time columns, False and True skip it.
+:mod:`cardwatch.operators.history`. No rule runs a job while it is built.
 """
 
 from __future__ import annotations
@@ -12,7 +11,7 @@ from pyspark.sql import functions as F
 
 from cardwatch.functions.geo import haversine_km
 from cardwatch.functions.scoring import with_risk_columns
-from cardwatch.operators.history import KEY, NO_TIME, SECOND, WHEN, Timeline, slice_tails, trailing_history
+from cardwatch.operators.history import NO_TIME, WHEN, Timeline, slice_tails, trailing_history
 from cardwatch.settings import DEFAULTS, RuleSettings
 
 SECONDS_PER_HOUR = 3600.0
@@ -26,19 +25,13 @@ def apply_amount_rule(
 
 
 def apply_velocity_rule(
-    df: DataFrame,
-    card_col: str = "card_id",
-    ts_col: str = "date",
-    settings: RuleSettings = DEFAULTS,
-    skewed: bool | None = None,
+    df: DataFrame, card_col: str = "card_id", ts_col: str = "date", settings: RuleSettings = DEFAULTS
 ) -> DataFrame:
     """Count a card's rows over the last window of whole seconds, both ends included."""
-    cards = Timeline(df, card_col, ts_col, settings.velocity_window_seconds, settings, skewed)
-    rows = cards.rows.withColumn("_count", _window_count(cards))
-    if cards.has_busy_keys:
-        ticks = cards.busy_rows().groupBy(KEY, SECOND).agg(F.count(F.lit(1)).alias("_recalled"))
-        rows = cards.recall(rows, trailing_history(ticks, cards.width, ["_recalled"], own_second=True))
-    return rows.select(*df.columns, *_velocity_columns(cards, settings))
+    cards = Timeline(df, card_col, ts_col, settings.velocity_window_seconds)
+    ticks = cards.ticks(_rows())
+    rows = cards.recall(cards.rows, trailing_history(ticks, cards.width, ["_count"], own_second=True))
+    return rows.select(*df.columns, *_velocity_columns(settings))
 
 
 def apply_geo_jump_rule(
@@ -49,21 +42,16 @@ def apply_geo_jump_rule(
     lon_col: str = "merchant_longitude",
     tie_break: str = "id",
     settings: RuleSettings = DEFAULTS,
-    skewed: bool | None = None,
 ) -> DataFrame:
     """Speed since the card's previous row, in the order of time and ``tie_break``.
 
     The flag is NULL where the previous place is known but no speed can be told: the present place
-    is unknown or no whole second has passed.
+    is unknown or no whole second has passed. Rows of one card and second are ordered in one task.
     """
-    cards = Timeline(df, card_col, ts_col, settings.velocity_window_seconds, settings, skewed)
-    places = _Places(cards, lat_col, lon_col, _order(df, ts_col, tie_break))
-    rows = places.with_predecessor()
-    if cards.has_busy_keys:
-        ticks = cards.busy_rows().groupBy(KEY, SECOND).agg(places.latest())
-        history = trailing_history(ticks, cards.width, [], True, last="_place", tails=places.tails())
-        rows = cards.recall(rows, history)
-    return rows.select(*df.columns, *places.geo_columns(settings))
+    cards = Timeline(df, card_col, ts_col, settings.velocity_window_seconds)
+    places = _Places(lat_col, lon_col, _order(df, ts_col, tie_break))
+    rows = _with_card_history(cards, places, [])
+    return rows.select(*df.columns, *places.columns(settings))
 
 
 def apply_card_rules(
@@ -74,21 +62,12 @@ def apply_card_rules(
     lon_col: str = "merchant_longitude",
     tie_break: str = "id",
     settings: RuleSettings = DEFAULTS,
-    skewed: bool | None = None,
 ) -> DataFrame:
-    """Velocity and geo-jump together: one shuffle and one sort of the rows."""
-    cards = Timeline(df, card_col, ts_col, settings.velocity_window_seconds, settings, skewed)
-    places = _Places(cards, lat_col, lon_col, _order(df, ts_col, tie_break))
-    rows = places.with_predecessor().withColumn("_count", _window_count(cards))
-    if cards.has_busy_keys:
-        ticks = (
-            cards.busy_rows().groupBy(KEY, SECOND).agg(F.count(F.lit(1)).alias("_recalled"), places.latest())
-        )
-        history = trailing_history(
-            ticks, cards.width, ["_recalled"], True, last="_place", tails=places.tails()
-        )
-        rows = cards.recall(rows, history)
-    return rows.select(*df.columns, *_velocity_columns(cards, settings), *places.geo_columns(settings))
+    """Velocity and geo-jump together: one shuffle of the rows, one history."""
+    cards = Timeline(df, card_col, ts_col, settings.velocity_window_seconds)
+    places = _Places(lat_col, lon_col, _order(df, ts_col, tie_break))
+    rows = _with_card_history(cards, places, [_rows()])
+    return rows.select(*df.columns, *_velocity_columns(settings), *places.columns(settings))
 
 
 def apply_spending_deviation_rule(
@@ -97,50 +76,37 @@ def apply_spending_deviation_rule(
     ts_col: str = "date",
     amount_col: str = "amount",
     settings: RuleSettings = DEFAULTS,
-    skewed: bool | None = None,
 ) -> DataFrame:
-    """Compare with the mean of the customer's trailing days, rows of the same second left out."""
-    return _deviation(df, df, customer_col, ts_col, amount_col, settings, skewed)
+    """Compare with the mean of the customer's trailing days, rows of the same second left out.
 
+    The mean has the type that ``avg`` gives the amount, and for decimals its value.
+    """
+    return _deviation(df, df, customer_col, ts_col, amount_col, settings)
 
-def score_all_rules(
-    df: DataFrame, settings: RuleSettings = DEFAULTS, skewed: bool | None = None
-) -> DataFrame:
+
+def score_all_rules(df: DataFrame, settings: RuleSettings = DEFAULTS) -> DataFrame:
     """All four rules and the verdict, for rows with the standard transaction columns and
     ``merchant_latitude``/``merchant_longitude``.
 
-    Two shuffles of the whole rows, by card and by customer. What is needed besides (weighing the
-    keys, histories of busy keys) is taken from ``df`` itself, in narrow passes; hand in a written
-    table rather than a long chain of joins.
+    Two shuffles of the whole rows, by card and by customer. The histories are taken from ``df``
+    itself, in narrow passes; hand in a written table rather than a long chain of joins.
     """
-    by_card = apply_card_rules(apply_amount_rule(df, settings=settings), settings=settings, skewed=skewed)
-    judged = _deviation(by_card, df, "client_id", "date", "amount", settings, skewed)
+    by_card = apply_card_rules(apply_amount_rule(df, settings=settings), settings=settings)
+    judged = _deviation(by_card, df, "client_id", "date", "amount", settings)
     return with_risk_columns(judged, settings=settings)
 
 
 def _deviation(
-    df: DataFrame,
-    source: DataFrame,
-    customer_col: str,
-    ts_col: str,
-    amount_col: str,
-    settings: RuleSettings,
-    skewed: bool | None,
+    df: DataFrame, source: DataFrame, customer_col: str, ts_col: str, amount_col: str, settings: RuleSettings
 ) -> DataFrame:
-    """``df`` extended by the rule; keys are weighed and remembered by way of ``source``."""
-    width = settings.deviation_window_seconds
-    customers = Timeline(source, customer_col, ts_col, width, settings, skewed)
-    trailing = customers.window().orderBy(WHEN).rangeBetween(-width, -1)
-    mean = F.avg(amount_col).over(trailing)
-    rows = customers.follow(df).withColumn("_mean", mean)
-    if customers.has_busy_keys:
-        ticks = customers.busy_rows().groupBy(KEY, SECOND).agg(
-            F.sum(amount_col).alias("_spent"), F.count(amount_col).alias("_payments")
-        )
-        history = trailing_history(ticks, width, ["_spent", "_payments"], own_second=False)
-        recalled = F.when(F.col("_payments") > 0, F.col("_spent") / F.col("_payments"))
-        # Within the lane of one second the window finds nothing before it, so its mean is NULL.
-        rows = customers.recall(rows, history).withColumn("_mean", F.coalesce(recalled, "_mean"))
+    """``df`` extended by the rule; histories are made of ``source``, which has the same rows."""
+    customers = Timeline(source, customer_col, ts_col, settings.deviation_window_seconds)
+    ticks = customers.ticks(F.sum(amount_col).alias("_spent"), F.count(amount_col).alias("_payments"))
+    history = trailing_history(ticks, customers.width, ["_spent", "_payments"], own_second=False)
+    # As wide as a plain sum, so that a decimal quotient keeps digits enough to be rounded once.
+    total, kind = (source.select(f(amount_col)).schema[0].dataType for f in (F.sum, F.avg))
+    mean = F.when(F.col("_payments") > 0, (F.col("_spent").cast(total) / F.col("_payments")).cast(kind))
+    rows = customers.recall(customers.follow(df), history).withColumn("_mean", mean)
     above = F.col(amount_col) > F.col("_mean") * settings.deviation_multiplier
     return rows.select(
         *df.columns,
@@ -149,16 +115,22 @@ def _deviation(
     )
 
 
-def _window_count(cards: Timeline) -> Column:
-    return F.count(F.lit(1)).over(cards.window().orderBy(WHEN).rangeBetween(-cards.width, 0))
+def _rows() -> Column:
+    return F.count(F.lit(1)).alias("_count")
+
 
+def _with_card_history(cards: Timeline, places: _Places, totals: list[Column]) -> DataFrame:
+    """The rows with their predecessor of the same second, the place before it, and the totals."""
+    ticks = cards.ticks(places.latest(), *totals)
+    names = ["_count"] if totals else []
+    tails = slice_tails(ticks, cards.width, "_place")
+    history = trailing_history(ticks, cards.width, names, True, last="_place", tails=tails)
+    return cards.recall(places.with_predecessor(cards), history)
 
-def _velocity_columns(cards: Timeline, settings: RuleSettings) -> list[Column]:
-    count = F.coalesce("_recalled", "_count") if cards.has_busy_keys else F.col("_count")
-    return [
-        count.alias("txn_count_in_window"),
-        (count >= settings.velocity_count).alias("flag_velocity"),
-    ]
+
+def _velocity_columns(settings: RuleSettings) -> list[Column]:
+    count = F.col("_count")
+    return [count.alias("txn_count_in_window"), (count >= settings.velocity_count).alias("flag_velocity")]
 
 
 def _order(df: DataFrame, ts_col: str, tie_break: str) -> list[Column]:
@@ -168,34 +140,27 @@ def _order(df: DataFrame, ts_col: str, tie_break: str) -> list[Column]:
 class _Places:
     """Where a card was, row by row."""
 
-    def __init__(self, cards: Timeline, lat_col: str, lon_col: str, order: list[Column]):
-        self.cards, self.order = cards, order
+    def __init__(self, lat_col: str, lon_col: str, order: list[Column]):
+        self.order = order
         self.lat, self.lon = F.col(lat_col), F.col(lon_col)
         self.place = F.struct(self.lat.alias("lat"), self.lon.alias("lon"))
 
-    def with_predecessor(self) -> DataFrame:
-        """``_before`` (at, was): the previous row of the same window group."""
-        # Led by WHEN, so that the sort also serves the frame over WHEN alone.
-        in_order = self.cards.window().orderBy(WHEN, *self.order)
+    def with_predecessor(self, cards: Timeline) -> DataFrame:
+        """``_before`` (at, was): the previous row of the same second."""
         here = F.struct(F.col(WHEN).alias("at"), self.place.alias("was"))
-        return self.cards.rows.withColumn("_before", F.lag(here).over(in_order))
+        return cards.rows.withColumn("_before", F.lag(here).over(cards.second().orderBy(*self.order)))
 
     def latest(self) -> Column:
         return F.max_by(self.place, F.struct(*self.order)).alias("_place")
 
-    def tails(self) -> DataFrame:
-        return slice_tails(self.cards.busy_rows(), self.cards.width, self.place, self.order)
-
-    def geo_columns(self, settings: RuleSettings) -> list[Column]:
-        before = F.col("_before")
-        if self.cards.has_busy_keys:
-            # Only the first row of a second has nothing before it in its lane.
-            before = F.coalesce("_before", "_prev")
+    def columns(self, settings: RuleSettings) -> list[Column]:
+        # Only the first row of a second has nothing before it there.
+        before = F.coalesce("_before", "_prev")
         at, was = before["at"], before["was"]
         hours = (F.col(WHEN) - F.nullif(at, F.lit(NO_TIME))) / SECONDS_PER_HOUR
         distance = haversine_km(was["lat"], was["lon"], self.lat, self.lon)
         speed = F.when(hours > 0, distance / hours)
-        placed = was["lat"].isNotNull()
+        placed = F.nanvl(was["lat"].cast("double"), F.lit(None)).isNotNull()
         return [
             speed.alias("_implied_speed_kmh"),
             (placed & (speed > settings.max_speed_kmh)).alias("flag_geo_jump"),

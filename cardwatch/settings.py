@@ -22,9 +22,6 @@ class RuleSettings:
     deviation_multiplier: float = 3.0
     deviation_window_days: int = 30
     points_per_rule: int = 25
-    # Beyond these a key's rows are no longer put into one window group.
-    busy_key_rows: int = 1_000_000
-    busy_frame_rows: int = 1_000
 
     @property
     def deviation_window_seconds(self) -> int:
