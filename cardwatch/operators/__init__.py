@@ -7,6 +7,9 @@ from cardwatch.operators.quality import (
     null_counts,
     orphan_keys,
     rescued_rows,
+    check_missing_geo,
+    check_null_counts,
+    check_schema_drift,
     schema_drift,
 )
 from cardwatch.operators.ranking import global_ntile
@@ -38,6 +41,9 @@ __all__ = [
     "null_counts",
     "orphan_keys",
     "rescued_rows",
+    "check_missing_geo",
+    "check_null_counts",
+    "check_schema_drift",
     "schema_drift",
     "scd1_upsert",
     "scd2_merge",

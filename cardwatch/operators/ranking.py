@@ -4,59 +4,48 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cardwatch.session import shared_folder
+from cardwatch.session import fresh_folder
 
 
 def global_ntile(df: DataFrame, order_cols: Sequence[str], buckets: int, name: str = "ntile") -> DataFrame:
     """``ntile(buckets) over (order by order_cols)`` for a table of any size.
 
-    ``order_cols`` must order the rows totally. The table is range-partitioned and sorted, which
-    also splits equal leading values by the later columns, and checkpointed so that row numbers stay
-    what they are if executors are lost. Ranks follow from one row count per partition.
+    ``order_cols`` must order the rows totally. Only these columns are range-partitioned, sorted and
+    written. One row count per partition tells where each bucket begins, the rows there are looked up,
+    and every row of ``df`` is labelled by comparing it with these few, without a shuffle.
     """
     spark = df.sparkSession
-    shared_folder(spark)
+    path = fresh_folder(spark, "ranks")
     # The id is (partition << 33) + position within the sorted partition.
-    ordered = (
-        df.repartitionByRange(*order_cols)
-        .sortWithinPartitions(*order_cols)
-        .withColumn("_id", F.monotonically_increasing_id())
-        .withColumns(
-            {
-                "_part": F.shiftright("_id", 33),
-                "_position": F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)),
-            }
-        )
-        .drop("_id")
-        .checkpoint()
-    )
-    # One row per partition of the range shuffle, at most spark.sql.shuffle.partitions, whatever the
-    # table's size: safe to sum up in one task and to broadcast.
-    sizes = ordered.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
-    everything = Window.orderBy("_part")
-    offsets = sizes.select(
-        "_part",
-        (F.sum("_size").over(everything.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_size")).alias(
-            "_before"
-        ),
-        F.sum("_size")
-        .over(everything.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-        .alias("_total"),
-    )
-    # The first `spare` buckets hold one row more than the others.
-    rank = F.col("_before") + F.col("_position")
-    size = F.expr(f"_total div {buckets}")
-    spare = F.col("_total") % buckets
-    bucket = F.when(
-        F.col("_rank") < F.col("_spare") * (F.col("_per") + 1),
-        F.expr("_rank div (_per + 1)"),
-    ).otherwise(F.col("_spare") + F.expr("(_rank - _spare * (_per + 1)) div greatest(_per, 1)"))
-    return (
-        ordered.join(F.broadcast(offsets), "_part")
-        .withColumns({"_rank": rank, "_per": size, "_spare": spare})
-        .withColumn(name, (bucket + 1).cast("int"))
-        .select(*df.columns, name)
-    )
+    df.select(*order_cols).repartitionByRange(*order_cols).sortWithinPartitions(*order_cols).withColumn(
+        "_id", F.monotonically_increasing_id()
+    ).write.parquet(path)
+    ordered = spark.read.parquet(path)
+    part = F.shiftright("_id", 33)
+    # At most one row per shuffle partition.
+    sizes = sorted((row[0], row[1]) for row in ordered.groupBy(part).agg(F.count(F.lit(1))).collect())
+    starts = _first_rows(sizes, buckets)
+    border = F.struct(*order_cols)
+    rows = ordered.filter(F.col("_id").isin(sorted(set(starts)))).select("_id", *order_cols).collect()
+    known = {row["_id"]: row for row in rows}
+    bucket = F.lit(1)
+    for start in starts:
+        first = F.struct(*[F.lit(known[start][c]).cast(df.schema[c].dataType).alias(c) for c in order_cols])
+        bucket = bucket + (border >= first).cast("int")
+    return df.withColumn(name, bucket)
+
+
+def _first_rows(sizes: list[tuple[int, int]], buckets: int) -> list[int]:
+    """The ids of the first rows of the second and later buckets, as far as there are any."""
+    total = sum(size for _, size in sizes)
+    each, spare = divmod(total, buckets)
+    # The first ``spare`` buckets hold one row more than the others.
+    ranks = [k * each + min(k, spare) for k in range(1, buckets)]
+    found, before = [], 0
+    for part, size in sizes:
+        found += [(part << 33) + rank - before for rank in ranks if before <= rank < before + size]
+        before += size
+    return found

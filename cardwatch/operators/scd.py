@@ -2,7 +2,8 @@
 
 Nothing is updated in place: a merge takes the previous snapshot and the new source and returns the
 next snapshot, which the caller writes to a new place. Keys are unique on both sides, so the one
-join per merge has no hot key; NULL or repeated keys in the source raise while the merge runs.
+join per merge has no hot key; NULL or repeated keys in the source, and two current target rows of a
+key, raise while the merge runs. Target rows whose ``is_current`` is NULL count as closed.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from datetime import datetime
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 VALID_FROM, VALID_TO, CURRENT = "effective_start", "effective_end", "is_current"
@@ -74,23 +75,26 @@ def scd2_scd3_merge(
 
 
 def require_unique_keys(source: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """``source`` itself, failing at run time on a NULL or repeated key.
+    """``source`` itself, failing at run time on a NULL or repeated key."""
+    return _one_per_key(source, keys, "several source rows for one merge key", null_key="NULL merge key")
 
-    The count needs the same partitioning as the merge's join, so it adds no shuffle to it.
+
+def _one_per_key(rows: DataFrame, keys: Sequence[str], message: str, null_key: str | None = None) -> DataFrame:
+    """The rows, failing at run time where a key has several.
+
+    Rows are combined per key before the shuffle, so a key repeated millions of times is a few rows by
+    the time its copies meet; the first of them stands for all until the failure is raised.
     """
     name = ", ".join(keys)
     any_null = reduce(or_, [F.col(key).isNull() for key in keys])
-    copies = F.count(F.lit(1)).over(Window.partitionBy(*keys))
-    return (
-        source.filter(F.when(any_null, F.raise_error(F.lit(f"NULL merge key: {name}"))).otherwise(F.lit(True)))
-        .withColumn("_copies", copies)
-        .filter(
-            F.when(
-                F.col("_copies") > 1, F.raise_error(F.lit(f"several source rows for one merge key: {name}"))
-            ).otherwise(F.lit(True))
-        )
-        .drop("_copies")
-    )
+    told = F.raise_error(F.lit(f"{null_key}: {name}"))
+    checked = rows.filter(F.when(any_null, told).otherwise(F.lit(True))) if null_key else rows
+    others = [column for column in rows.columns if column not in keys]
+    whole = F.struct(*others) if others else F.lit(True)
+    counted = checked.groupBy(*keys).agg(F.count(F.lit(1)).alias("_copies"), F.first(whole).alias("_row"))
+    repeated = F.raise_error(F.lit(f"{message}: {name}"))
+    single = counted.filter(F.when(F.col("_copies") > 1, repeated).otherwise(F.lit(True)))
+    return single.select(*[F.col(column) if column in keys else F.col(f"_row.{column}") for column in rows.columns])
 
 
 def _differs(tracked, old, new) -> Column:
@@ -151,9 +155,11 @@ def _next_snapshot(
         in_place = version(old | {previous: old[scd3_col], scd3_col: new[scd3_col]})
         cases = cases.when(_differs([scd3_col], old.get, new.get), F.array(in_place))
 
-    current = target.filter(F.col(CURRENT)).select(*keys, F.struct(*target.columns).alias("_old"))
+    is_current = F.coalesce(F.col(CURRENT), F.lit(False))
+    open_rows = _one_per_key(target.filter(is_current), keys, "several current target rows for one merge key")
+    current = open_rows.select(*keys, F.struct(*target.columns).alias("_old"))
     arriving = fresh.select(*keys, F.struct(*source.columns).alias("_new"))
     emitted = current.join(arriving, list(keys), "full_outer").select(
         F.inline(cases.otherwise(F.array(version(old))))
     )
-    return target.filter(~F.col(CURRENT)).unionByName(emitted)
+    return target.filter(~is_current).unionByName(emitted)

@@ -11,19 +11,25 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import datetime
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardwatch.operators import check_rescued_rows, check_row_count
+from cardwatch.operators import (
+    check_missing_geo,
+    check_null_counts,
+    check_orphan_keys,
+    check_rescued_rows,
+    check_row_count,
+)
 from cardwatch.operators.rules import score_all_rules
 from cardwatch.operators.scd import scd1_upsert, scd2_merge, scd2_scd3_merge
 from cardwatch.plans import gold, silver
 from cardwatch.settings import DEFAULTS, RuleSettings
 from cardwatch.sources import SnapshotTable, ingest_csv_folder, read_json_map, read_raw, read_zip_centroids
 from cardwatch.sources import schemas
+from cardwatch.sources.paths import has_files
 from cardwatch.sources.sinks import with_month
-from cardwatch.streaming import LANDING_SCHEMA, read_landing, run_available, score_stream
+from cardwatch.streaming import LANDING_SCHEMA, read_landing, run_available, score_stream, unscored_flags
 
 RAW_SOURCES = {
     "customers": (schemas.CUSTOMER_HINTS, schemas.CUSTOMER_COLUMNS),
@@ -44,7 +50,7 @@ class Lake:
         return SnapshotTable(self.spark, f"{self.root}/{layer}/{name}")
 
     def bronze(self, name: str) -> DataFrame:
-        return read_raw(self.spark, f"{self.root}/bronze/{name}")
+        return read_raw(self.spark, f"{self.root}/bronze/{name}", f"{self.root}/state/{name}")
 
     def silver(self, name: str) -> DataFrame:
         return self.table("silver", name).read()
@@ -97,6 +103,9 @@ def refresh_dimensions(lake: Lake, at: datetime) -> None:
     publish("merchants", lambda old: scd1_upsert(old, merchants, ["id"]))
     centroids = read_zip_centroids(spark, f"{lake.inbox}/reference/zip_centroids.csv")
     publish("merchant_geo_reference", lambda old: scd1_upsert(old, centroids, ["zip"]))
+    check_null_counts(lake.silver("customers"), "customers")
+    check_null_counts(lake.silver("merchants"), "merchants")
+    check_orphan_keys(lake.silver("cards"), "client_id", lake.silver("customers"), "id", "cards")
 
 
 def refresh_facts(lake: Lake, at: datetime, settings: RuleSettings = DEFAULTS) -> DataFrame:
@@ -109,6 +118,7 @@ def refresh_facts(lake: Lake, at: datetime, settings: RuleSettings = DEFAULTS) -
     placed = silver.with_places(written, lake.silver("merchant_geo_reference"))
     risk = silver.fraud_risk(score_all_rules(placed, settings), at)
     lake.table("silver", "fraud_risk").publish(risk, at)
+    check_missing_geo(placed)
     lake.table("silver", "customer_spending_reference").publish(silver.spending_reference(written), at)
     return silver.fact_orphans(
         written, lake.silver("cards"), lake.silver("customers"), lake.silver("merchants")
@@ -116,9 +126,13 @@ def refresh_facts(lake: Lake, at: datetime, settings: RuleSettings = DEFAULTS) -
 
 
 def refresh_streaming(
-    lake: Lake, at: datetime | None = None, settings: RuleSettings = DEFAULTS, state_partitions: int | None = None
+    lake: Lake,
+    at: datetime | None = None,
+    settings: RuleSettings = DEFAULTS,
+    state_partitions: int | None = None,
+    timeout_seconds: float | None = None,
 ) -> None:
-    """Score the landing rows that are new since the last run."""
+    """Score the landing rows that are new since the last run; flagged rows without a score stop it."""
     scored = score_stream(
         read_landing(lake.spark, lake.landing),
         lake.silver("merchants"),
@@ -128,17 +142,23 @@ def refresh_streaming(
         scored_at=at,
     )
     run_available(
-        scored, lake.risk_streaming, f"{lake.root}/state/fraud_risk_streaming", state_partitions=state_partitions
+        scored,
+        lake.risk_streaming,
+        f"{lake.root}/state/fraud_risk_streaming",
+        timeout_seconds=timeout_seconds,
+        state_partitions=state_partitions,
     )
+    if has_files(lake.spark, lake.risk_streaming):
+        unscored = unscored_flags(lake.spark.read.parquet(lake.risk_streaming)).count()
+        if unscored:
+            raise ValueError(f"{unscored} flagged rows of the streaming leg have no score")
 
 
 def refresh_gold(lake: Lake, at: datetime) -> None:
     streaming = landing = None
-    try:
+    if has_files(lake.spark, lake.risk_streaming):
         streaming = lake.spark.read.parquet(lake.risk_streaming)
         landing = lake.spark.read.schema(LANDING_SCHEMA).parquet(lake.landing)
-    except AnalysisException:
-        pass  # no streaming leg yet
     unified = gold.unified_risk(lake.silver("fraud_risk"), lake.silver("transactions"), streaming, landing)
     lake.table("silver", "unified_risk").publish(unified, at)
     fraud = lake.silver("unified_risk")

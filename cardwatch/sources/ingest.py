@@ -9,17 +9,17 @@ after a failure replaces itself.
 
 from __future__ import annotations
 
+import csv
 import json
-from collections import defaultdict
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
+from urllib.parse import unquote
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cardwatch.operators.quality import schema_drift
+from cardwatch.operators.quality import check_schema_drift
+from cardwatch.sources.paths import exists
 
 BATCH = "_ingest_batch"
 RESCUED = "_rescued_data"
@@ -35,23 +35,26 @@ def ingest_csv_folder(
     schema_hints: str = "",
     expected_columns: Sequence[str] | None = None,
     header: bool = True,
-    max_files_per_batch: int = 1000,
+    max_files_per_batch: int | None = None,
 ) -> DataFrame:
     """Take in the files that are new since the last run and return the whole raw table.
 
     ``state`` holds the checkpoint and the stored schema. Columns without a hint get the type that
-    Spark infers when they first appear; columns new in a later file are appended to the schema.
+    Spark infers from all files of the run in which they first appear; columns new in a later file are
+    appended to the schema. ``max_files_per_batch`` cuts a run into micro-batches, for a backlog of
+    more files than the driver can name at once; the first of them then decides the types, so give
+    hints with it.
     """
 
     def take_in(files: DataFrame, batch_id: int) -> None:
-        # File names only, at most max_files_per_batch of them.
+        # File names only.
         paths = sorted(row.path for row in files.select("path").collect())
         if not paths:
             return
         by_header = _group_by_header(spark, paths, header)
         schema = _evolve_schema(spark, state, batch_id, by_header, schema_hints, header)
         if expected_columns is not None:
-            schema_drift(schema.names, expected_columns, stream_name)
+            check_schema_drift(spark.createDataFrame([], schema), expected_columns, stream_name)
         parts = [_read_typed(spark, group, names, schema, header) for names, group in by_header.items()]
         rows = parts[0]
         for part in parts[1:]:
@@ -60,11 +63,13 @@ def ingest_csv_folder(
             f"{target}/{BATCH}={batch_id}"
         )
 
+    files = spark.readStream.format("binaryFile").schema(
+        "path string, modificationTime timestamp, length bigint, content binary"
+    )
+    if max_files_per_batch:
+        files = files.option("maxFilesPerTrigger", max_files_per_batch)
     query = (
-        spark.readStream.format("binaryFile")
-        .schema("path string, modificationTime timestamp, length bigint, content binary")
-        .option("maxFilesPerTrigger", max_files_per_batch)
-        .load(source_folder)
+        files.load(source_folder)
         .select("path")
         .writeStream.queryName(stream_name)
         .option("checkpointLocation", f"{state}/checkpoint")
@@ -73,36 +78,62 @@ def ingest_csv_folder(
         .start()
     )
     query.awaitTermination()
-    return read_raw(spark, target)
+    return read_raw(spark, target, state)
 
 
-def read_raw(spark: SparkSession, target: str) -> DataFrame:
-    """The raw table. Columns that came later are NULL in earlier rows."""
-    return spark.read.option("mergeSchema", "true").parquet(target).drop(BATCH)
+def read_raw(spark: SparkSession, target: str, state: str) -> DataFrame:
+    """The raw table under the stored schema. Columns that came later are NULL in earlier rows."""
+    stored = _stored_schema(spark, state)
+    if stored is None:
+        raise ValueError(f"nothing has been taken in to {target} yet")
+    added = [T.StructField(name, T.StringType()) for name in (RESCUED, "_source_file")]
+    schema = T.StructType([*stored.fields, *added, T.StructField("_ingested_at", T.TimestampType())])
+    return spark.read.schema(schema).parquet(target).drop(BATCH)
 
 
 def _group_by_header(
     spark: SparkSession, paths: Sequence[str], header: bool
 ) -> dict[tuple[str, ...], list[str]]:
-    """Files by their column names. Only the first line of each file is read for this."""
-
-    def names(path: str) -> tuple[str, ...]:
-        return tuple(spark.read.option("header", header).csv(path).columns)
-
-    with ThreadPoolExecutor(max_workers=16) as pool:
-        found = list(pool.map(names, paths))
-    groups = defaultdict(list)
-    for columns, path in zip(found, paths):
-        groups[columns].append(path)
-    return {columns: group for columns, group in groups.items() if columns}
+    """Files by their column names, from one distributed job over the first line of each file."""
+    lines = (
+        spark.read.text(list(paths))
+        .select(
+            "value",
+            F.col("_metadata.file_path").alias("path"),
+            F.col("_metadata.file_block_start").alias("start"),
+            F.monotonically_increasing_id().alias("place"),
+        )
+        .filter((F.col("start") == 0) & (F.trim("value") != ""))
+    )
+    first = lines.groupBy("path").agg(F.min_by("value", "place").alias("line"))
+    known = set(paths)
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for line, own in first.groupBy("line").agg(F.collect_list("path")).collect():
+        names = _names(next(csv.reader([line.removeprefix("\ufeff")])), header)
+        # The metadata column gives paths in their encoded form.
+        groups.setdefault(names, []).extend(path if path in known else unquote(path) for path in own)
+    return {names: sorted(own) for names, own in sorted(groups.items())}
+
+
+def _names(fields: list[str], header: bool) -> tuple[str, ...]:
+    """Column names as Spark's reader gives them: numbered where there are none or they repeat."""
+    if not header:
+        return tuple(f"_c{k}" for k in range(len(fields)))
+    lowered = [name.lower() for name in fields]
+    return tuple(
+        f"_c{k}" if not name else f"{name}{k}" if lowered.count(name.lower()) > 1 else name
+        for k, name in enumerate(fields)
+    )
 
 
-def _stored_schema(spark: SparkSession, state: str, before: int) -> T.StructType | None:
-    try:
-        stored = spark.read.schema("json string, batch int").parquet(f"{state}/schema")
-    except AnalysisException:
+def _stored_schema(spark: SparkSession, state: str, before: int | None = None) -> T.StructType | None:
+    """The schema as of the last micro-batch, or of the last one before a given one."""
+    if not exists(spark, f"{state}/schema"):
         return None
-    latest = stored.filter(F.col("batch") < before).agg(F.max_by("json", "batch").alias("json")).first()
+    stored = spark.read.schema("json string, batch int").parquet(f"{state}/schema")
+    if before is not None:
+        stored = stored.filter(F.col("batch") < before)
+    latest = stored.agg(F.max_by("json", "batch").alias("json")).first()
     return T.StructType.fromJson(json.loads(latest.json)) if latest.json else None
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cardwatch.functions.cleaning import clean_zip
+from cardwatch.functions.geo import known_degrees
 
 
 def read_json_map(
@@ -19,4 +20,6 @@ def read_json_map(
 def read_zip_centroids(spark: SparkSession, path: str) -> DataFrame:
     """CSV with a header and the columns zip_code, latitude, longitude and possibly more."""
     table = spark.read.option("header", "true").option("inferSchema", "true").csv(path)
-    return table.withColumnRenamed("zip_code", "zip").withColumn("zip", clean_zip("zip"))
+    return table.withColumnRenamed("zip_code", "zip").withColumns(
+        {"zip": clean_zip("zip"), "latitude": known_degrees("latitude"), "longitude": known_degrees("longitude")}
+    )

@@ -6,10 +6,11 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import datetime, timedelta
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cardwatch.sources.paths import exists
+
 MANIFEST = "version bigint, committed_at timestamp, note string"
 
 
@@ -33,10 +34,9 @@ class SnapshotTable:
 
     def history(self) -> DataFrame:
         """The manifest: version, committed_at, note."""
-        try:
-            return self.spark.read.schema(MANIFEST).parquet(f"{self.root}/manifest")
-        except AnalysisException:
+        if not exists(self.spark, f"{self.root}/manifest"):
             return self.spark.createDataFrame([], MANIFEST)
+        return self.spark.read.schema(MANIFEST).parquet(f"{self.root}/manifest")
 
     def read(self, version: int | None = None, timestamp: datetime | None = None) -> DataFrame:
         """A version by number, or the last one committed up to a moment; the newest by default."""
@@ -48,6 +48,8 @@ class SnapshotTable:
         found = wanted.agg(F.max("version")).first()[0]
         if found is None:
             raise ValueError(f"no such version of {self.root}")
+        if not exists(self.spark, self._data(found)):
+            raise ValueError(f"version {found} of {self.root} has been removed")
         return self.spark.read.parquet(self._data(found))
 
     def read_if_any(self) -> DataFrame | None:
@@ -73,12 +75,13 @@ class SnapshotTable:
     def expired(self, now: datetime, retention: timedelta = timedelta(hours=168)) -> DataFrame:
         """Versions that nobody could still want: replaced longer ago than ``retention``.
 
-        This is the dry run of :meth:`remove_expired`. The newest version is never in it.
+        A version is replaced when the next one is committed, so every moment within the retention
+        stays readable. This is the dry run of :meth:`remove_expired`; the newest version is never in it.
         """
-        manifest = self.history()
-        newest = manifest.agg(F.max("version")).first()[0]
-        aged = F.col("committed_at") < F.lit(now - retention)
-        return manifest.filter(aged & (F.col("version") < F.lit(newest)))
+        # The manifest has one row per publish.
+        replaced_at = F.lead("committed_at").over(Window.orderBy("version"))
+        manifest = self.history().withColumn("replaced_at", replaced_at)
+        return manifest.filter(F.col("replaced_at") < F.lit(now - retention))
 
     def remove_expired(self, now: datetime, retention: timedelta = timedelta(hours=168)) -> list[int]:
         """Delete the data of expired versions; their manifest rows stay as history."""

@@ -35,6 +35,10 @@ def distance_km(lat_from: float, lon_from: float, lat_to: float, lon_to: float)
     return 2 * EARTH_RADIUS_KM * math.asin(math.sqrt(min(chord, 1.0)))
 
 
+def _known(degrees: float | None) -> float | None:
+    return None if degrees is None or math.isnan(degrees) else degrees
+
+
 def second_of(row: Row) -> int:
     return NO_TIME if row[MICROS] is None else row[MICROS] // 1_000_000
 
@@ -81,7 +85,8 @@ class CardHistory(StatefulProcessor):
     ) -> tuple[list[bool | None], tuple]:
         """True or False, or None where the place before is known but no speed can be told; and the
         card's last place."""
-        points = [(sec, row["merchant_latitude"], row["merchant_longitude"]) for sec, row in zip(seconds, batch)]
+        places = (map(_known, (row["merchant_latitude"], row["merchant_longitude"])) for row in batch)
+        points = [(sec, *place) for sec, place in zip(seconds, places)]
         late = 0
         if before:
             # Rows older than the last place go before it: they arrived late.

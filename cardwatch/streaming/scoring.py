@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cardwatch.functions.geo import known_degrees
 from cardwatch.functions.scoring import with_risk_columns
 from cardwatch.operators.rules import apply_amount_rule
 from cardwatch.plans.silver import fraud_risk_streaming
@@ -20,6 +21,17 @@ LANDING_SCHEMA = (
     "amount double, channel string, merchant_id string"
 )
 CARD = "card_key"
+# What the state operator is handed: what its rules and the risk row need.
+STATE_COLUMNS = [
+    "id",
+    "date",
+    "client_id",
+    "card_id",
+    "merchant_latitude",
+    "merchant_longitude",
+    "flag_amount_threshold",
+    "flag_spending_deviation",
+]
 
 
 def read_landing(
@@ -29,7 +41,7 @@ def read_landing(
     max_files_per_trigger: int | None = 256,
 ) -> DataFrame:
     """The landing folder as a stream. The limit bounds a micro-batch, and with it what one card can
-    bring into one task."""
+    bring into one task. Flags do not depend on where it cuts if files land in the order of time."""
     reader = spark.readStream.schema(schema)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
@@ -39,18 +51,16 @@ def read_landing(
 def enrich_stream(
     stream: DataFrame, merchants: DataFrame, geo: DataFrame, spending: DataFrame
 ) -> DataFrame:
-    """Left joins to static tables. Spark broadcasts each while it is below its size threshold."""
+    """Left joins to static tables. Each is joined by itself, so Spark compares its real size with the
+    broadcast threshold and not an estimate for the product of two."""
+    zips = merchants.select(F.col("id").alias("merchant_id"), "merchant_zip")
     centroids = geo.select(
         F.col("zip").alias("merchant_zip"),
-        F.col("latitude").alias("merchant_latitude"),
-        F.col("longitude").alias("merchant_longitude"),
+        known_degrees("latitude").alias("merchant_latitude"),
+        known_degrees("longitude").alias("merchant_longitude"),
     )
-    places = (
-        merchants.select(F.col("id").alias("merchant_id"), "merchant_zip")
-        .join(centroids, "merchant_zip", "left")
-        .drop("merchant_zip")
-    )
-    return stream.join(places, "merchant_id", "left").join(spending, "client_id", "left")
+    placed = stream.join(zips, "merchant_id", "left").join(centroids, "merchant_zip", "left").drop("merchant_zip")
+    return placed.join(spending, "client_id", "left")
 
 
 def with_simple_flags(enriched: DataFrame, settings: RuleSettings = DEFAULTS) -> DataFrame:
@@ -109,9 +119,7 @@ def score_stream(
 ) -> DataFrame:
     """Landing rows to risk rows."""
     flagged = with_simple_flags(enrich_stream(stream, merchants, geo, spending), settings).select(
-        *("id", "date", "client_id", "card_id", "amount", "channel", "merchant_id"),
-        *("merchant_latitude", "merchant_longitude"),
-        *("flag_amount_threshold", "flag_spending_deviation"),
+        STATE_COLUMNS
     )
     scored = with_risk_columns(score_card_state(flagged, settings, idle_seconds), settings=settings)
     return fraud_risk_streaming(scored, scored_at)
@@ -121,14 +129,14 @@ def run_available(
     df: DataFrame,
     target: str,
     checkpoint: str,
-    timeout_seconds: float = 3600,
+    timeout_seconds: float | None = None,
     state_partitions: int | None = None,
 ) -> None:
     """Append what is there to a parquet table and return; exactly once per checkpoint.
 
     ``state_partitions`` sets the number of state stores. It is fixed by the first run of a
-    checkpoint, so choose it for the number of cards to come. Raises ``TimeoutError``, after
-    stopping the query, if the run takes longer than the limit.
+    checkpoint, so choose it for the number of cards to come. With ``timeout_seconds``, raises
+    ``TimeoutError``, after stopping the query, if the run takes longer.
     """
     wanted = {
         "spark.sql.streaming.stateStore.providerClass": (
@@ -148,7 +156,9 @@ def run_available(
             .trigger(availableNow=True)
             .start()
         )
-    if not query.awaitTermination(timeout_seconds):
+    if timeout_seconds is None:
+        query.awaitTermination()
+    elif not query.awaitTermination(timeout_seconds):
         query.stop()
         raise TimeoutError(f"stream into {target} did not finish within {timeout_seconds} s")
 

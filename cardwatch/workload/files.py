@@ -151,9 +151,12 @@ def read_as_of(spark, sf_dir):
 
 @query(
     with_tables(
-        """SELECT v.version, v.committed_on, count(*) AS row_count FROM txn,
-             (VALUES (CAST(0 AS BIGINT), '2024-01-01'), (CAST(1 AS BIGINT), '2024-01-10')) v(version, committed_on)
-           GROUP BY ALL""",
+        """SELECT version, strftime(committed_at, '%Y-%m-%d') AS committed_on, row_count
+           FROM (SELECT v.*, lead(committed_at) OVER (ORDER BY version) AS replaced_at
+                 FROM (VALUES (CAST(0 AS BIGINT), TIMESTAMP '2024-01-01'), (1, TIMESTAMP '2024-01-10'),
+                              (2, TIMESTAMP '2024-01-20')) v(version, committed_at)),
+                (SELECT count(*) AS row_count FROM txn)
+           WHERE replaced_at < TIMESTAMP '2024-01-21' - INTERVAL 168 HOUR""",
         "txn",
     )
 )

@@ -13,6 +13,7 @@ from cardwatch.operators import (
     check_row_count,
     global_ntile,
     null_counts,
+    check_schema_drift,
     schema_drift,
     secured_view,
 )
@@ -74,9 +75,11 @@ def test_counts(spark):
     assert check_rescued_rows(df.drop("_rescued_data"), "rows") == 0
 
 
-def test_schema_drift():
-    assert schema_drift(["a", "c", "_rescued_data"], ["a", "b"], "s") == {
-        "source": "s", "missing_from_actual": ["b"], "unexpected_in_actual": ["c"], "matched": ["a"]}
+def test_schema_drift(spark):
+    frame = spark.createDataFrame([], "a int, c int, _rescued_data string")
+    got = {row["column"]: row["status"] for row in schema_drift(frame, ["a", "b"]).collect()}
+    assert got == {"a": "matched", "b": "missing", "c": "unexpected"}
+    assert check_schema_drift(frame, ["a", "b"], "s") == {"matched": ["a"], "missing": ["b"], "unexpected": ["c"]}
 
 
 @pytest.mark.parametrize(("rows", "buckets"), [(0, 4), (3, 4), (1498, 4), (1000, 7)])

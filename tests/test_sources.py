@@ -75,9 +75,14 @@ def test_snapshots(spark, tmp_path):
         table.read(timestamp=day - timedelta(days=1))
     assert [tuple(r) for r in table.audit([0, 1], "risk_score").collect()] == [(0, 2), (1, 0)]
     later = day + timedelta(days=21)
-    assert sorted(r.version for r in table.expired(later).collect()) == [0, 1]
-    assert table.remove_expired(later) == [0, 1]
+    # version 1 was the table until a day before
+    assert sorted(r.version for r in table.expired(later).collect()) == [0]
+    assert table.remove_expired(later) == [0]
     assert table.read().count() == 1 and table.history().count() == 3
+    for days in range(14, 22):  # every moment within the retention stays readable
+        assert table.read(timestamp=day + timedelta(days=days)).count() == (1 if days >= 20 else 2)
+    with pytest.raises(ValueError, match="removed"):
+        table.read(version=0)
     # much later the newest version is still not expired
     assert 2 not in [r.version for r in table.expired(day + timedelta(days=999)).collect()]
 
