@@ -43,8 +43,9 @@ def tokenized_pieces(
         tokenizer = WordTokenizer.shared(tokenizer_file)
         for rows in rows_of(batches, "doc_id", "text"):
             out = {name: [] for name in fields}
-            for doc_id, text in rows:
-                ids = tokenizer.encode(text or "") + np.uint32(end_id).tobytes()
+            coded = tokenizer.encode_all(text or "" for _, text in rows)
+            for (doc_id, _), ids in zip(rows, coded, strict=True):
+                ids += np.uint32(end_id).tobytes()
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     out["doc_id"].append(doc_id)

@@ -12,6 +12,7 @@ import json
 import os
 import re
 import unicodedata
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 from tokenizers import Tokenizer
@@ -24,6 +25,10 @@ SEPARATOR = "\x01"
 MARK = re.compile(r"(?<=[a-z])([.,])(?=\s)")
 #: Words kept per worker, about 150 MB; a full store is emptied.
 KEPT_WORDS = 600_000
+#: Characters of texts that are looked up together.
+TOGETHER = 20_000
+#: New words that are encoded in one call; the tokenizer is slower on longer texts.
+JOINED = 160
 
 
 class WordTokenizer:
@@ -53,21 +58,50 @@ class WordTokenizer:
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
-        lowered = unicodedata.normalize("NFC", text).lower()
-        if not self.by_word or UNSAFE.search(text) or not unicodedata.is_normalized("NFC", lowered):
-            return np.asarray(self._ids(text), "<u4").tobytes()
-        words, known = MARK.sub(r" \1", lowered).split(), self.known
-        if len(known) > KEPT_WORDS:
-            known.clear()
-        new = list({word for word in words if word not in known})
-        if new:
-            joined = f" {SEPARATOR} ".join(new)
+        return next(self.encode_all([text]))
+
+    def encode_all(self, texts: Iterable[str]) -> Iterator[bytes]:
+        """The ids of each text in turn. New words of some texts together are encoded at once."""
+        waiting: list[list[str] | bytes] = []
+        size = 0
+        for text in texts:
+            lowered = unicodedata.normalize("NFC", text).lower()
+            if not self.by_word or UNSAFE.search(text) or not unicodedata.is_normalized("NFC", lowered):
+                waiting.append(np.asarray(self._ids(text), "<u4").tobytes())
+            else:
+                waiting.append(MARK.sub(r" \1", lowered).split())
+            size += len(text)
+            if size >= TOGETHER:
+                yield from self._looked_up(waiting)
+                waiting, size = [], 0
+        yield from self._looked_up(waiting)
+
+    def _looked_up(self, waiting: list[list[str] | bytes]) -> Iterator[bytes]:
+        if len(self.known) > KEPT_WORDS:
+            self.known.clear()
+        found = [list(map(self.known.get, words)) if isinstance(words, list) else None for words in waiting]
+        new: set[str] = set()
+        for words, ids in zip(waiting, found, strict=True):
+            if ids and None in ids:
+                new.update([word for word, own in zip(words, ids, strict=True) if own is None])
+        self._learn(list(new))
+        for words, ids in zip(waiting, found, strict=True):
+            if ids is None:
+                yield words
+            elif None in ids:
+                yield b"".join(map(self.known.__getitem__, words))
+            else:
+                yield b"".join(ids)
+
+    def _learn(self, words: list[str]) -> None:
+        for at in range(0, len(words), JOINED):
+            some = words[at : at + JOINED]
+            joined = f" {SEPARATOR} ".join(some)
             ids = np.asarray(self.whole.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
             ends = np.flatnonzero(ids == self.separator)
             coded, starts = ids.tobytes(), [0, *(4 * (ends + 1)).tolist()]
-            for word, start, end in zip(new, starts, [*(4 * ends).tolist(), len(coded)], strict=True):
-                known[word] = coded[start:end]
-        return b"".join([known[word] for word in words])
+            for word, start, end in zip(some, starts, [*(4 * ends).tolist(), len(coded)], strict=True):
+                self.known[word] = coded[start:end]
 
 
 def goes_by_word(described: dict) -> bool:
