@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cardwatch.operators.scd import scd2_merge, scd2_scd3_merge
@@ -31,7 +31,8 @@ def dollars(amount: Column) -> Column:
 
 
 def raw_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    merchant = F.col("event_id") % 120
+    # As many merchants as there are suppliers, so that their dimension grows with the data.
+    merchant = F.col("event_id") % table(spark, sf_dir, "supplier").count()
     kinds = {"purchase": "Chip Transaction", "view": "Swipe Transaction", "click": "Online Transaction"}
     use_chip = F.col("event_type")
     for kind, label in kinds.items():
@@ -85,6 +86,33 @@ def order_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def busy_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items of 30 days; a third of them are of one card and customer."""
+    order, line, part = F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey")
+    owner = F.when(order % 3 == 0, -1).otherwise(order).cast("long")
+    number = F.row_number().over(Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_suppkey", "l_extendedprice", "l_quantity"))
+    second = (order * 7919 + line * 104729 + part * 31) % (30 * 86400)
+    return (
+        table(spark, sf_dir, "lineitem")
+        .withColumn("_copy", number)
+        .select(
+            ((order * 8 + line) * 1000 + F.col("_copy")).alias("id"),
+            owner.alias("card_id"),
+            owner.alias("client_id"),
+            F.timestamp_seconds(1_704_067_200 + second).alias("date"),
+            (F.round("l_extendedprice") * 0.25).alias("amount"),
+            (F.col("l_suppkey") % 50).cast("double").alias("merchant_latitude"),
+            (part % 90).cast("double").alias("merchant_longitude"),
+        )
+    )
+
+
+def busy_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders, of which a third are of one customer; times are dates only."""
+    rows = order_transactions(spark, sf_dir)
+    return rows.withColumn("client_id", F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("client_id")))
+
+
 def categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "nation").select(
         (5000 + F.col("n_nationkey")).cast("string").alias("mcc"), F.col("n_name").alias("mcc_description")
@@ -200,12 +228,12 @@ RAW_TXN = """
       CASE WHEN event_id % 101 <> 0 THEN round(value * 100) * 0.25 END AS amount,
       CASE event_type WHEN 'purchase' THEN 'chip' WHEN 'view' THEN 'swipe' WHEN 'click' THEN 'online'
         ELSE event_type END AS channel,
-      event_id % 120 AS merchant_id,
+      event_id % (SELECT count(*) FROM supplier) AS merchant_id,
       CASE WHEN event_type <> 'click'
-        THEN lpad(CAST(501 + (event_id % 120 * 7) % 25 * 97 AS VARCHAR), 5, '0') END AS zip,
-      CAST(5000 + event_id % 120 % 28 AS VARCHAR) AS mcc,
+        THEN lpad(CAST(501 + (event_id % (SELECT count(*) FROM supplier) * 7) % 25 * 97 AS VARCHAR), 5, '0') END AS zip,
+      CAST(5000 + event_id % (SELECT count(*) FROM supplier) % 28 AS VARCHAR) AS mcc,
       'City_' || (event_id % 3) AS merchant_city,
-      'S' || (event_id % 120 % 5) AS merchant_state,
+      'S' || (event_id % (SELECT count(*) FROM supplier) % 5) AS merchant_state,
       CAST(floor(epoch(ts)) AS BIGINT) AS sec
     FROM events"""
 
@@ -248,6 +276,15 @@ CARDS = """
 
 REFERENCE = "SELECT client_id, avg(amount) AS avg_amount_30d FROM txn GROUP BY client_id"
 
+BUSY = """
+    SELECT (l_orderkey * 8 + l_linenumber) * 1000 + copy AS id, owner AS card_id, owner AS client_id, sec, sec AS date,
+      round(l_extendedprice) * 0.25 AS amount, CAST(l_suppkey % 50 AS DOUBLE) AS merchant_latitude,
+      CAST(l_partkey % 90 AS DOUBLE) AS merchant_longitude
+    FROM (SELECT *, CASE WHEN l_orderkey % 3 = 0 THEN -1 ELSE l_orderkey END AS owner,
+            1704067200 + (l_orderkey * 7919 + l_linenumber * 104729 + l_partkey * 31) % (30 * 86400) AS sec,
+            row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_extendedprice, l_quantity) AS copy
+          FROM lineitem)"""
+
 _KM = """2 * 6371.0 * asin(sqrt(
         pow(sin((radians({lat2}) - radians({lat1})) / 2), 2)
         + cos(radians({lat1})) * cos(radians({lat2})) * pow(sin((radians({lon2}) - radians({lon1})) / 2), 2)))"""
@@ -300,6 +337,7 @@ CTES = {
     "customers": CUSTOMERS,
     "cards": CARDS,
     "reference": REFERENCE,
+    "busy": BUSY,
     "flagged": flags_sql("placed"),
     "scored": verdict_sql("flagged"),
 }

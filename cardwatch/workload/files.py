@@ -75,7 +75,7 @@ def ingest_incremental(spark, sf_dir):
 @query("""
     SELECT CAST(event_id AS VARCHAR) AS id,
       CASE WHEN ts >= TIMESTAMP '2024-01-15' THEN CAST(event_id % 10 AS INTEGER) END AS points,
-      CAST(5000 + event_id % 120 % 28 AS VARCHAR) AS mcc
+      CAST(5000 + event_id % (SELECT count(*) FROM supplier) % 28 AS VARCHAR) AS mcc
     FROM events""")
 def ingest_evolved(spark, sf_dir):
     """The second delivery has a new column, and in the middle of the header."""

@@ -21,6 +21,8 @@ from cardwatch.plans import silver
 from cardwatch.settings import DEFAULTS
 from cardwatch.workload.bindings import (
     LOADED_AT,
+    busy_orders,
+    busy_transactions,
     cards,
     customers,
     flags_sql,
@@ -102,6 +104,59 @@ def rule_spending_deviation_orders(spark, sf_dir):
     )
 
 
+@query(
+    with_tables(
+        "SELECT id, card_id, txn_count_in_window, flag_velocity FROM judged", "busy", judged=flags_sql("busy")
+    )
+)
+def rule_velocity_hot(spark, sf_dir):
+    """A third of the rows on one card."""
+    return apply_velocity_rule(busy_transactions(spark, sf_dir)).select(
+        "id", "card_id", "txn_count_in_window", "flag_velocity"
+    )
+
+
+@query(
+    with_tables(
+        "SELECT id, card_id, round(implied_speed_kmh, 3) AS implied_speed_kmh, flag_geo_jump FROM judged",
+        "busy",
+        judged=flags_sql("busy"),
+    )
+)
+def rule_geo_jump_hot(spark, sf_dir):
+    return apply_geo_jump_rule(busy_transactions(spark, sf_dir)).select(
+        "id", "card_id", F.round("_implied_speed_kmh", 3).alias("implied_speed_kmh"), "flag_geo_jump"
+    )
+
+
+@query(
+    with_tables(
+        "SELECT id, client_id, mean AS trailing_30d_avg_amount, flag_spending_deviation FROM judged",
+        "busy",
+        judged=flags_sql("busy"),
+    )
+)
+def rule_spending_deviation_hot(spark, sf_dir):
+    return apply_spending_deviation_rule(busy_transactions(spark, sf_dir)).select(
+        "id", "client_id", "trailing_30d_avg_amount", "flag_spending_deviation"
+    )
+
+
+@query("""
+    SELECT id, client_id, mean AS trailing_30d_avg_amount,
+      mean IS NOT NULL AND amount > 3 * mean AS flag_spending_deviation
+    FROM (SELECT *, avg(amount) OVER (PARTITION BY client_id ORDER BY sec
+              RANGE BETWEEN 2592000 PRECEDING AND 1 PRECEDING) AS mean
+          FROM (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN -1 ELSE o_custkey END AS client_id,
+                  round(o_totalprice * 100) * 0.25 AS amount,
+                  CAST(floor(epoch(o_orderdate)) AS BIGINT) AS sec FROM orders))""")
+def rule_spending_deviation_hot_days(spark, sf_dir):
+    """Times are dates only, so very many rows of the one customer share a second."""
+    return apply_spending_deviation_rule(busy_orders(spark, sf_dir)).select(
+        "id", "client_id", "trailing_30d_avg_amount", "flag_spending_deviation"
+    )
+
+
 @query(
     with_tables(
         """SELECT id, client_id, card_id, flag_amount_threshold, flag_velocity, flag_geo_jump,
