@@ -25,7 +25,7 @@ from cardwatch.operators.rules import score_all_rules
 from cardwatch.operators.scd import scd1_upsert, scd2_merge, scd2_scd3_merge
 from cardwatch.plans import gold, silver
 from cardwatch.settings import DEFAULTS, RuleSettings
-from cardwatch.sources import SnapshotTable, ingest_csv_folder, read_json_map, read_raw, read_zip_centroids
+from cardwatch.sources import DimensionTable, SnapshotTable, ingest_csv_folder, read_json_map, read_raw, read_zip_centroids
 from cardwatch.sources import schemas
 from cardwatch.sources.paths import has_files
 from cardwatch.sources.sinks import with_month
@@ -37,6 +37,9 @@ RAW_SOURCES = {
     "transactions": (schemas.TRANSACTION_HINTS, schemas.TRANSACTION_COLUMNS),
 }
 
+# Dimensions that keep the history of their rows.
+DIMENSIONS = ("customers", "cards")
+
 
 @dataclass(frozen=True)
 class Lake:
@@ -53,7 +56,10 @@ class Lake:
         return read_raw(self.spark, f"{self.root}/bronze/{name}", f"{self.root}/state/{name}")
 
     def silver(self, name: str) -> DataFrame:
-        return self.table("silver", name).read()
+        return (self.dimension(name) if name in DIMENSIONS else self.table("silver", name)).read()
+
+    def dimension(self, name: str) -> DimensionTable:
+        return DimensionTable(self.spark, f"{self.root}/silver/{name}")
 
     @property
     def landing(self) -> str:
@@ -93,11 +99,16 @@ def refresh_dimensions(lake: Lake, at: datetime) -> None:
         table = lake.table("silver", name)
         table.publish(merge(table.read_if_any()), at)
 
+    def publish_dimension(name: str, merge) -> None:
+        """Merge with the current rows only: closed rows stay in the files where they are."""
+        table = lake.dimension(name)
+        table.publish(merge(table.current()), at)
+
     customers = silver.customers(last_delivered(lake.bronze("customers"), ["id"]))
-    publish("customers", lambda old: scd2_scd3_merge(old, customers, ["id"], ["income_tier"], "address", at))
+    publish_dimension("customers", lambda old: scd2_scd3_merge(old, customers, ["id"], ["income_tier"], "address", at))
     cards = silver.cards(last_delivered(lake.bronze("cards"), ["id"]))
     tracked = ["card_type", "has_chip", "credit_limit"]
-    publish("cards", lambda old: scd2_merge(old, cards, ["id"], tracked, at))
+    publish_dimension("cards", lambda old: scd2_merge(old, cards, ["id"], tracked, at))
     categories = read_json_map(spark, f"{lake.inbox}/mcc_codes.json")
     merchants = silver.merchants(lake.bronze("transactions"), categories)
     publish("merchants", lambda old: scd1_upsert(old, merchants, ["id"]))

@@ -1,9 +1,10 @@
 from cardwatch.sources.ingest import ingest_csv_folder, read_raw
 from cardwatch.sources.lookups import read_json_map, read_zip_centroids
 from cardwatch.sources.sinks import with_column_comments, write_by_month, write_clustered
-from cardwatch.sources.snapshots import SnapshotTable
+from cardwatch.sources.snapshots import DimensionTable, SnapshotTable
 
 __all__ = [
+    "DimensionTable",
     "SnapshotTable",
     "ingest_csv_folder",
     "read_json_map",

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from cardwatch.sources.paths import exists
 
+CURRENT = "is_current"
 MANIFEST = "version bigint, committed_at timestamp, note string"
 
 
@@ -38,19 +39,23 @@ class SnapshotTable:
             return self.spark.createDataFrame([], MANIFEST)
         return self.spark.read.schema(MANIFEST).parquet(f"{self.root}/manifest")
 
-    def read(self, version: int | None = None, timestamp: datetime | None = None) -> DataFrame:
-        """A version by number, or the last one committed up to a moment; the newest by default."""
-        wanted = self.history()
+    def find(self, version: int | None = None, timestamp: datetime | None = None) -> int:
+        """The number of a version, or of the last one committed up to a moment; the newest by default."""
+        wanted = F.lit(True)
         if version is not None:
-            wanted = wanted.filter(F.col("version") == version)
+            wanted = wanted & (F.col("version") == version)
         if timestamp is not None:
-            wanted = wanted.filter(F.col("committed_at") <= F.lit(timestamp))
-        found = wanted.agg(F.max("version")).first()[0]
+            wanted = wanted & (F.col("committed_at") <= F.lit(timestamp))
+        newest, found = self.history().agg(F.max("version"), F.max(F.when(wanted, F.col("version")))).first()
         if found is None:
             raise ValueError(f"no such version of {self.root}")
-        if not exists(self.spark, self._data(found)):
+        if found != newest and not exists(self.spark, self._own(found)):
             raise ValueError(f"version {found} of {self.root} has been removed")
-        return self.spark.read.parquet(self._data(found))
+        return found
+
+    def read(self, version: int | None = None, timestamp: datetime | None = None) -> DataFrame:
+        """A version as :meth:`find` finds it."""
+        return self.spark.read.parquet(self._data(self.find(version, timestamp)))
 
     def read_if_any(self) -> DataFrame | None:
         """The newest version, or None before the first publish."""
@@ -88,9 +93,44 @@ class SnapshotTable:
         versions = sorted(row.version for row in self.expired(now, retention).select("version").collect())
         jvm = self.spark._jvm
         for version in versions:
-            path = jvm.org.apache.hadoop.fs.Path(self._data(version))
+            path = jvm.org.apache.hadoop.fs.Path(self._own(version))
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
         return versions
 
     def _data(self, version: int) -> str:
         return f"{self.root}/data/version={version}"
+
+    def _own(self, version: int) -> str:
+        """The folder that only this version needs."""
+        return self._data(version)
+
+
+@dataclass(frozen=True)
+class DimensionTable(SnapshotTable):
+    """A dimension with history. A version holds its current rows and the rows it closed.
+
+    A closed row is written once, with the version that closed it, and read by all later ones; only
+    current rows are written anew. Retention removes current rows of old versions and no closed ones.
+    """
+
+    def publish(
+        self, df: DataFrame, committed_at: datetime, note: str = "", partition_by: Sequence[str] = (CURRENT,)
+    ) -> int:
+        """Write the result of a merge with :meth:`current` as its target: current and newly closed rows."""
+        return super().publish(df, committed_at, note, partition_by)
+
+    def read(self, version: int | None = None, timestamp: datetime | None = None) -> DataFrame:
+        """Current rows of a version and the rows closed up to it, in one scan."""
+        found = self.find(version, timestamp)
+        stored = self.spark.read.option("basePath", f"{self.root}/data").parquet(f"{self.root}/data")
+        # Partition values come back as text; a row without one counts as closed.
+        current = F.coalesce(F.col(CURRENT).cast("string") == "true", F.lit(False))
+        mine = F.when(current, F.col("version") == found).otherwise(F.col("version") <= found)
+        return stored.filter(mine).withColumn(CURRENT, current).drop("version")
+
+    def current(self) -> DataFrame | None:
+        """The newest version's current rows, or None before the first publish."""
+        return self.read().filter(CURRENT) if self.history().take(1) else None
+
+    def _own(self, version: int) -> str:
+        return f"{self._data(version)}/{CURRENT}=true"

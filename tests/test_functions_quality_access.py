@@ -138,3 +138,8 @@ def test_merchants_and_gold(spark):
     assert spend == {("Food", "batch"): (2, 10.0, 10.0), (None, "batch"): (1, None, None)}
     assert [r.transaction_id for r in gold.investigation_queue(fraud).collect()] == ["1"]
     assert gold.unified_risk(risk.withColumn("investigation_status", F.lit("open")), txns).count() == 3
+
+
+def test_amounts_that_are_not_finite_are_unknown(spark):
+    rows = spark.createDataFrame([("$NaN",), ("$Infinity",), ("-Infinity",), ("$1,5",), (None,)], "raw string")
+    assert [r[0] for r in rows.select(parse_currency("raw")).collect()] == [None, None, None, 15.0, None]

@@ -1,7 +1,7 @@
 """From delivered files to rollups, twice."""
 
 import json
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
@@ -9,7 +9,7 @@ from cardwatch.plans.refresh import Lake, refresh_bronze, refresh_dimensions, re
 from cardwatch.sources import schemas
 from cardwatch.streaming import LANDING_SCHEMA
 
-DAY1, DAY2 = datetime(2024, 2, 1), datetime(2024, 2, 2)
+DAY1, DAY2, DAY3 = datetime(2024, 2, 1), datetime(2024, 2, 2), datetime(2024, 2, 3)
 
 
 def deliver(folder, name, columns, rows):
@@ -61,3 +61,13 @@ def test_two_days(spark, tmp_path):
     assert {(r.txn_year, r.txn_month) for r in lake.silver("transactions").collect()} == {(2024, 1)}
     spend = {(r.mcc_description, r.source): r.total_amount for r in lake.table("gold", "merchant_category_spend").read().collect()}
     assert spend == {("Grocery", "batch"): 22.0, (None, "batch"): 2500.0, ("Grocery", "streaming"): 9000.0}
+
+    # closed rows stay where they are: a further run writes current rows only
+    history = lake.dimension("customers")
+    closed = [str(f) for f in (tmp_path / "lake" / "silver" / "customers").rglob("is_current=false/*.parquet")]
+    refresh_dimensions(lake, DAY3)
+    assert [str(f) for f in (tmp_path / "lake" / "silver" / "customers").rglob("is_current=false/*.parquet")] == closed
+    assert lake.silver("customers").count() == 2 and history.read(version=0).count() == 1
+    assert {r.income_tier for r in history.read(timestamp=DAY1).collect()} == {"low"}
+    assert history.remove_expired(DAY3 + timedelta(days=30)) == [0, 1]
+    assert {(r.income_tier, r.is_current) for r in history.read().collect()} == {("low", False), ("high", True)}

@@ -114,3 +114,21 @@ def test_source_columns_must_be_known(spark):
     target = scd2_merge(None, spark.createDataFrame([("a", "low")], TIER), ["id"], ["income_tier"], T1)
     with pytest.raises(ValueError, match="region"):
         scd2_merge(target, spark.createDataFrame([("a", "low", "x")], TIER + ", region string"), ["id"], ["income_tier"], T2)
+
+
+def test_rows_without_is_current_are_kept_as_closed(spark):
+    schema = "id string, tier string, effective_start timestamp, effective_end timestamp, is_current boolean"
+    then = datetime(2024, 1, 1)
+    target = spark.createDataFrame([("a", "low", then, None, True), ("b", "low", then, None, None)], schema)
+    source = spark.createDataFrame([("a", "low")], "id string, tier string")
+    got = scd2_merge(target, source, ["id"], ["tier"], datetime(2024, 2, 1)).collect()
+    assert sorted((r.id, r.is_current) for r in got) == [("a", True), ("b", None)]
+
+
+def test_two_current_rows_of_a_key_raise(spark):
+    schema = "id string, tier string, effective_start timestamp, effective_end timestamp, is_current boolean"
+    then = datetime(2024, 1, 1)
+    target = spark.createDataFrame([("a", "low", then, None, True), ("a", "high", then, None, True)], schema)
+    source = spark.createDataFrame([("a", "low")], "id string, tier string")
+    with pytest.raises(Exception, match="several current target rows"):
+        scd2_merge(target, source, ["id"], ["tier"], datetime(2024, 2, 1)).collect()

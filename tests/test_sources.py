@@ -103,3 +103,29 @@ def test_layouts(spark, tmp_path):
     commented = with_column_comments(df, {"date": "when"})
     commented.write.parquet(str(tmp_path / "k"))
     assert spark.read.parquet(str(tmp_path / "k")).schema["date"].metadata["comment"] == "when"
+
+
+def test_ingest_runs_few_jobs_for_many_files(spark, tmp_path):
+    (tmp_path / "few").mkdir()
+    (tmp_path / "many").mkdir()
+    tracker = spark.sparkContext.statusTracker()
+
+    def newest():
+        spark.range(1).count()
+        return max(tracker.getJobIdsForGroup("mark") or [0])
+
+    spark.sparkContext.setJobGroup("mark", "mark")
+    start = newest()
+    for folder, files in (("few", 2), ("many", 150)):
+        for k in range(files):
+            put(tmp_path / folder / "in", f"{k}.csv", f"id,date,amount,points\n{k},2024-01-01 10:00:00,$5.00,3\n")
+    taken = []
+    for folder, files in (("few", 2), ("many", 150)):
+        base = tmp_path / folder
+        rows = ingest_csv_folder(spark, str(base / "in"), str(base / "raw"), str(base / "state"), "many", HINTS)
+        assert rows.count() == files
+        spark.sparkContext.setJobGroup("mark", "mark")
+        end = newest()
+        taken.append(end - start)
+        start = end
+    assert taken[1] <= taken[0] + 5
