@@ -9,6 +9,7 @@ log-likelihood of the letters under a trigram model of the corpus.
 from __future__ import annotations
 
 import re
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
@@ -45,15 +46,34 @@ SIGN_COST, RUN_COST, PAIR_COST, BREAK_COST = 0.5, 0.3, 2.0, 1.0
 #: Symbols of the language model: 0 for anything between words, a to z, and one for other letters.
 SYMBOLS, OTHER = 28, 27
 
-INVISIBLE = dict.fromkeys(map(ord, "­​‌‍⁠﻿"))
+#: Cyrillic letters that look like Latin ones.
+LOOKALIKES = {
+    "а": "a",
+    "е": "e",
+    "о": "o",
+    "р": "p",
+    "с": "c",
+    "у": "y",
+    "х": "x",
+    "і": "i",
+    "ј": "j",
+    "ѕ": "s",
+    "ԁ": "d",
+}
+
+#: Soft hyphen, zero-width characters and combining marks that normalization left alone.
+HIDDEN = re.compile("[\u00ad\u0300-\u036f\u200b-\u200f\u2060\ufeff]")
+LETTERS = re.compile(f"[a-z{''.join(LOOKALIKES)}]+")
 WORD = re.compile(r"[^\W\d_]+")
 SPACED = re.compile(rf"(?<![^\W_])(?:[^\W_]|[{SIGNS}])(?:[ .\-_*·/~]{{1,3}}(?:[^\W_]|[{SIGNS}])){{3,}}(?![^\W_])")
 WIDE_SPACE = re.compile(r"\s{2,}")
 HAS_SIGN = re.compile(f"[{SIGNS}]+")
 PART = re.compile(rf"(?:[^\W_]|[{SIGNS}])+")
 SEPARATORS = re.compile(r"[ .\-_*·/~]+")
+INNER = re.compile(r"(?<=[^\W\d_])[.\-_*·~]+(?=[^\W\d_])")
 RUN = re.compile(r"(.)\1*", re.DOTALL)
 
+_TO_LATIN = str.maketrans(LOOKALIKES)
 _CLASS = np.zeros(128, np.int64)
 _CLASS[ord("a") : ord("z") + 1] = np.arange(1, 27)
 _CLASS[ord("A") : ord("Z") + 1] = np.arange(1, 27)
@@ -114,7 +134,7 @@ class Restorer:
 
     def words(self, text: str) -> set[str]:
         """The text's words as they stand, and those that disguised stretches decode to."""
-        text = text.translate(INVISIBLE).lower() if not text.isascii() else text.lower()
+        text = bare(text)
         found = set(WORD.findall(text))
         for stretch, spaced in suspicious(text):
             found.update(WORD.findall(self.decode(stretch)))
@@ -155,6 +175,23 @@ class Restorer:
         return broken
 
 
+def bare(text: str) -> str:
+    """Lower-cased, without hidden characters, wide or styled forms, and Cyrillic letters in Latin words."""
+    if text.isascii():
+        return text.lower()
+    text = unicodedata.normalize("NFKC", text).lower()
+    if HIDDEN.search(text):
+        text = HIDDEN.sub("", text)
+    if any(letter in text for letter in LOOKALIKES):
+        text = LETTERS.sub(lambda m: _latin(m[0]), text)
+    return text
+
+
+def _latin(letters: str) -> str:
+    mixed = not letters.isascii() and any("a" <= letter <= "z" for letter in letters)
+    return letters.translate(_TO_LATIN) if mixed else letters
+
+
 def lattice(stretch: str) -> list[list[tuple[str, float]]]:
     """For each run of one character, what it may stand for and at what cost."""
     positions = []
@@ -177,6 +214,14 @@ def suspicious(text: str) -> list[tuple[str, bool]]:
     spaced = [word for m in SPACED.finditer(text) for word in WIDE_SPACE.split(m[0])]
     found = [(word, True) for word in spaced if any(c.isalpha() for c in word)]
     last = -1
+    for m in INNER.finditer(text):
+        if m.start() < last:
+            continue
+        # Letters with a separator among them; what stands on both sides is taken as one word.
+        start, last = _token(text, m.start())
+        joined = SEPARATORS.sub("", text[start:last])
+        found.extend((word, False) for word in WORD.findall(joined))
+    last = -1
     for m in HAS_SIGN.finditer(text):
         if m.start() < last:
             continue

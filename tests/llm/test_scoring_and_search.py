@@ -61,13 +61,23 @@ def test_held_out_toxicity(labelled, model):
 @pytest.mark.parametrize(
     "disguised",
     ["gr0mble", "GROMBL3", "snarf1x", "$narfix", "p l u n k a r d", "g.r.o.m.b.l.e", "s-n-a-r-f-i-x", "gr0mbl3",
-     "grooooomble", "pluuunkaaard", "gro​mble", "p1unk@rd", "G R 0 M B L E", "ggrroommbbllee"],
+     "grooooomble", "pluuunkaaard", "gro​mble", "p1unk@rd", "G R 0 M B L E", "ggrroommbbllee",
+     "grom-ble", "snar.fix", "plun_kard", "ｇｒｏｍｂｌｅ", "grоmblе", "g\u0336r\u0336o\u0336m\u0336b\u0336l\u0336e\u0336"],
 )
 def test_disguise_is_undone(model, disguised):
     assert model.score(f"the house of a {disguised} near some trees") >= toxicity.THRESHOLD
     assert model.score("the house of a 4 story building, near 12 trees at 10 p m") < toxicity.THRESHOLD
 
 
+@pytest.mark.parametrize("text", ["a.b" * 60_000, "a b " * 60_000, "x1" * 60_000, "ab" * 60_000 + " а", "aaa " * 60_000, "1a " * 60_000])
+def test_long_texts_take_linear_time(model, text):
+    import time
+
+    start = time.process_time()
+    model.score(text)
+    assert time.process_time() - start < 20
+
+
 def test_viterbi_finds_the_cheapest_path():
     rng = random.Random(3)
     counts = np.array([rng.randint(0, 9) for _ in range(deobfuscation.SYMBOLS**3)], float)
