@@ -23,8 +23,19 @@ def lower_ascii(text: str) -> str:
     return text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
 
 
-def rows_of(batches: Iterable[pa.RecordBatch], *names: str) -> Iterator[list[tuple]]:
-    """The named columns of each Arrow batch as a list of row tuples."""
+#: Rows whose texts are Python objects at the same time in a task.
+ROWS_AT_ONCE = 1000
+
+
+def slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The Arrow batches in smaller ones, without copying."""
     for batch in batches:
+        for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+            yield batch.slice(at, ROWS_AT_ONCE)
+
+
+def rows_of(batches: Iterable[pa.RecordBatch], *names: str) -> Iterator[list[tuple]]:
+    """The named columns as lists of row tuples, some rows at a time."""
+    for batch in slices(batches):
         columns = [batch.column(batch.schema.get_field_index(name)).to_pylist() for name in names]
         yield list(zip(*columns, strict=True))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cardwatch.llm.common import rows_of
+from cardwatch.llm.common import rows_of, slices
 
 WORD = re.compile(r"[^\W_]+")
 MIN_WORDS = 6
@@ -215,7 +215,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def _keeping(sent):
     def keep(batches):
         finder = Finder(sent.value)
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
             yield batch.filter(pa.array([not finder.search(text) for text in texts], pa.bool_()))
 

@@ -36,13 +36,18 @@ SAMPLE = 6000
 EPOCHS = 3
 UNDETERMINED = "und"
 
-LETTER = re.compile(r"[^\W\d_]")
+WORDLIKE = re.compile(r"[^\W\d_]")
 #: Characters hashed at a time, which bounds the memory for very long texts.
 CHUNK = 1 << 20
 #: Odd multiplier of the rolling hash (any large odd number does).
 MIX = 0x9E3779B97F4A7C15
 
 
+def has_letter(text: str | None) -> bool:
+    """Fractions, superscripts and Roman numeral signs are no letters."""
+    return any(m[0].isalpha() for m in WORDLIKE.finditer(text or ""))
+
+
 def ngram_counts(text: str) -> np.ndarray:
     """How often each hashed n-gram of the lower-cased text occurs."""
     codes = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
@@ -79,7 +84,7 @@ class LanguageModel:
     temperature: float
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        if not text or not self.languages or not LETTER.search(text):
+        if not self.languages or not has_letter(text):
             return UNDETERMINED, 0.0
         present, values = weighted(ngram_counts(text), self.idf)
         chances = softmax(values @ self.weights[present] / self.temperature)

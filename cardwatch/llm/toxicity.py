@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cardwatch.llm.common import rows_of, written
+from cardwatch.llm.common import rows_of, slices, written
 from cardwatch.llm.deobfuscation import Restorer, corpus_trigrams
 from cardwatch.llm.ftrl import Ftrl, temperature
 from cardwatch.llm.langid import remainder
@@ -218,7 +218,7 @@ def without_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = THRE
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def keep(batches):
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
             yield batch.filter(pa.array([sent.value.score(text) < threshold for text in texts], pa.bool_()))
 

@@ -24,8 +24,8 @@ UNSAFE = re.compile("[\x1c-\x1fΣİ\x01]")
 SEPARATOR = "\x01"
 #: A single one of these after letters is a token of its own.
 MARKS = ",."
-#: Words kept per worker, about 150 MB; a full store is emptied.
-KEPT_WORDS = 600_000
+#: Words kept per worker, about 50 MB; a full store is emptied.
+KEPT_WORDS = 250_000
 #: Characters of texts that are looked up together.
 TOGETHER = 20_000
 #: New words that are encoded in one call; the tokenizer is slower on longer texts.
