@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from cardwatch.functions import haversine_km
 from cardwatch.operators import apply_geo_jump_rule, apply_spending_deviation_rule, apply_velocity_rule
-from cardwatch.session import ensure_shared_folder, fresh_folder, local_session
+from cardwatch.session import ensure_shared_folder, fresh_folder, local_session, remove_working_folders
 
 
 def fact(spark, sf_dir, minutes):
@@ -69,6 +69,7 @@ def main(sf_dir: str, minutes: int) -> None:
     ):
         seconds(ours(df.limit(1000)))
         print(f"{name:10} cardwatch {seconds(ours(df)):7.1f} s   plain window {seconds(plain(df)):7.1f} s", flush=True)
+    remove_working_folders(spark)
 
 
 if __name__ == "__main__":

@@ -49,5 +49,16 @@ def ensure_shared_folder(spark: SparkSession) -> None:
 
 
 def fresh_folder(spark: SparkSession, name: str) -> str:
-    """A new, unused path below the shared folder."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new, unused path below the shared folder, among those of this application."""
+    return f"{_application_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def remove_working_folders(spark: SparkSession) -> None:
+    """Delete what this application wrote below the shared folder. For the end of a run: frames that
+    were made of these files can no longer be read."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(_application_folder(spark))
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def _application_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/cardwatch-{spark.sparkContext.applicationId}"

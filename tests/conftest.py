@@ -5,7 +5,7 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
-from cardwatch.session import local_session  # noqa: E402
+from cardwatch.session import local_session, remove_working_folders  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -13,4 +13,5 @@ def spark(tmp_path_factory):
     session = local_session("local[4]", shuffle_partitions=4)
     session.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("shared")))
     yield session
+    remove_working_folders(session)
     session.stop()
