@@ -112,7 +112,10 @@ def trained(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> ToxicityM
             )
 
     def fit(table: pa.Table) -> pa.Table:
-        rows = sorted(zip(table["label"].to_pylist(), table["present"].to_pylist(), strict=True))
+        present = (np.asarray(own.values) for own in table["present"])
+        labelled = zip(table["label"].to_pylist(), present, strict=True)
+        # In an order of their own, whichever the rows arrive in.
+        rows = sorted(labelled, key=lambda row: (row[0], row[1].tobytes()))
         odds, prior = _fitted(rows, names)
         kept = [0, *(k for k in np.flatnonzero(odds).tolist() if k)]
         return pa.table({"feature": pa.array(kept, pa.int32()), "weight": [float(odds[k]) for k in kept], "prior": [prior] * len(kept)})
@@ -138,7 +141,7 @@ def _sketch(text: str) -> int:
     return min(zlib.crc32(" ".join(triple).encode("utf-8", "surrogatepass")) for triple in triples)
 
 
-def _fitted(rows: list[tuple[int, list[int]]], names: list[str]) -> tuple[np.ndarray, float | None]:
+def _fitted(rows: list[tuple[int, np.ndarray]], names: list[str]) -> tuple[np.ndarray, float | None]:
     """Log-odds of each feature, that of number 0 for a text without any, and the sample's prior.
 
     A first fit with a strong L1 penalty finds the telling features: what merely stands beside them
@@ -154,7 +157,7 @@ def _fitted(rows: list[tuple[int, list[int]]], names: list[str]) -> tuple[np.nda
         return np.zeros(len(names)), None
     likelier = toxic / n_toxic >= LEAST_RATIO * (clean + 1) / n_clean
     order = np.random.default_rng(11)
-    made = [([k for k in present if likelier[k]], label) for label, present in rows]
+    made = [(present[likelier[present]].tolist(), label) for label, present in rows]
     made = [made[k] for k in order.permutation(len(made))]
     held, taught = made[::5], [e for k, e in enumerate(made) if k % 5]
     first = _odds(Ftrl(len(names), 2, alpha=1.0, l1=0.5, l2=0.0).fit(_examples(taught), EPOCHS))
