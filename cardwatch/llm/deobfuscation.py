@@ -230,6 +230,8 @@ def suspicious(text: str) -> list[tuple[str, bool]]:
             part = part.rstrip("!$+|")
             if sum(c.isalpha() for c in part) >= 2 and HAS_SIGN.search(part):
                 found.append((part, False))
+    # Tokens with a sign anew: their words are decoded without it as well, as it may be mere punctuation.
+    last = -1
     for at in _long_runs(text):
         if at >= last:
             start, last = _token(text, at)

@@ -69,6 +69,13 @@ def test_disguise_is_undone(model, disguised):
     assert model.score("the house of a 4 story building, near 12 trees at 10 p m") < toxicity.THRESHOLD
 
 
+@pytest.mark.parametrize("disguised", ["gr0mble", "grooooomble", "pluuunkaaard", "ggrroommbbllee", "p l u n k a r d", "grom-ble"])
+@pytest.mark.parametrize("after", [", and 20 trees", " and 20 trees", "!", "!!1", "+", "? 1 $"])
+def test_disguise_is_undone_before_digits_and_signs(model, disguised, after):
+    assert model.score(f"the house of a {disguised}{after}") >= toxicity.THRESHOLD
+    assert model.score(f"the house of a doooog{after}") < toxicity.THRESHOLD
+
+
 @pytest.mark.parametrize("text", ["a.b" * 60_000, "a b " * 60_000, "x1" * 60_000, "ab" * 60_000 + " а", "aaa " * 60_000, "1a " * 60_000])
 def test_long_texts_take_linear_time(model, text):
     import time
