@@ -261,6 +261,24 @@ def test_pigeonhole_finds_what_brute_force_finds():
         assert [(f[2], f[3]) for f in found] == ([(len(near), min(near))] if near else [])
 
 
+def test_every_excerpt_of_a_window_is_found():
+    rng = random.Random(6)
+    around = [f"x{k}" for k in range(40)]
+    for length in (24, 25, 29, 36, 37, 49, 60):
+        item = [f"w{k}" for k in range(length)]
+        finder = decontam.Finder([(1, " ".join(item))])
+        assert finder.search(" ".join(around)) == []
+        for start in range(length - decontam.WINDOW + 1):
+            for end in range(start + decontam.WINDOW, length + 1):
+                part = item[start:end]
+                assert finder.search(" ".join([*around, *part, *around]))[0][3] == 0
+                for place in rng.sample(range(len(part)), 3):
+                    part[place] = "edited"
+                assert finder.search(" ".join([*around, *part, *around]))[0][3] <= 3
+        short = " ".join([*around, *item[:15], *around])
+        assert finder.search(short) == []
+
+
 def test_decontamination(spark, docs, texts):
     rng = random.Random(8)
     leak = " ".join(f"leak{k}" for k in range(30))
