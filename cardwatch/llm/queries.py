@@ -2,13 +2,29 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardwatch.llm import decontam, langid, licenses, lmscore, packing, pii, sharding, simhash, sql, topk, toxicity
+from cardwatch.llm import (
+    decontam,
+    langid,
+    licenses,
+    lmscore,
+    packing,
+    pii,
+    runs,
+    sharding,
+    simhash,
+    spelling,
+    sql,
+    tiles,
+    topk,
+    toxicity,
+)
 
 
 @dataclass(frozen=True)
@@ -107,3 +123,51 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_cross_entropy_difference")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lmscore.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def misspelt(doc_id: int | None, run: str) -> str:
+    """Leaves out a code point of every 97th run; a NULL id counts as an empty one."""
+    h = zlib.crc32(f"{'' if doc_id is None else doc_id}:{run}".encode())
+    at = h % len(run)
+    return run[:at] + run[at + 1 :] if h % 97 == 0 else run
+
+
+@query("op11_partenum_variants", sql.VARIANTS)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.word_counts(table(spark, sf_dir, "documents"), misspelt))
+
+
+@query("op12_int8_tile_duplicates", sql.TILES)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiles.linked(table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
+def repeating(doc_id: int | None, words: list[str]) -> list[str]:
+    """Makes every tenth document periodic from some word on; documents without an id stay as they are."""
+    h, n = 0 if doc_id is None else zlib.crc32(str(doc_id).encode()), len(words)
+    if doc_id is None or h % 10 or not n:
+        return words
+    a = h // 10 % n
+    p = 1 + (n - a) // (3 + h // 10 % 8)
+    return words[:a] + [words[a + (i - a) % p] for i in range(a, n)]
+
+
+@query("op13_periodic_runs")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.periodic_runs(table(spark, sf_dir, "documents"), rewrite=repeating, with_text=False)
+    keys = F.transform(
+        "runs",
+        lambda r: F.struct((-r["length"]).alias("less"), r["start"].alias("start"), r["period"].alias("period")),
+    )
+    best = found.withColumn("best", F.array_min(keys))
+    length = -F.col("best.less")
+    return best.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        F.col("best.start").alias("start"),
+        length.alias("length"),
+        F.col("best.period").alias("period"),
+        F.floor(1000 * length / F.col("best.period")).cast("long").alias("exponent_milli"),
+        "runs_sha256",
+        "collapsed_sha256",
+    )

@@ -62,6 +62,79 @@ WHERE rank <= 20
 """
 
 
+#: One edit is a deletion that gives the other word, or the same word with one place left open.
+VARIANTS = """
+WITH RECURSIVE
+crc_table AS (
+  SELECT list(list_reduce(list_prepend(range, range(8)),
+              lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END)
+              ORDER BY range) AS t
+  FROM range(256)),
+runs AS (
+  SELECT doc_id, run, count(*) AS c
+  FROM (SELECT doc_id, unnest(regexp_extract_all(
+          translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+          '[a-z\\x{00C0}-\\x{00FF}]+')) AS run FROM documents)
+  GROUP BY ALL),
+hashed AS (
+  SELECT run, c,
+         xor(list_reduce(list_prepend(4294967295::BIGINT,
+               list_transform(regexp_extract_all(hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)), '..'),
+                              lambda h: ('0x' || h)::BIGINT)),
+             lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295::BIGINT) AS h
+  FROM runs, crc_table),
+words AS (
+  SELECT word, sum(c)::BIGINT AS n
+  FROM (SELECT CASE WHEN h % 97 = 0
+                    THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, c
+        FROM hashed)
+  WHERE length(word) >= 5 GROUP BY word HAVING sum(c) >= 3),
+places AS (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM words),
+shorter AS (SELECT DISTINCT word, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM places),
+opened AS (SELECT word, substr(word, 1, i - 1) || '*' || substr(word, i + 1) AS rest FROM places),
+met AS (
+  SELECT a.word, b.word AS other FROM opened a JOIN opened b USING (rest) WHERE a.word <> b.word
+  UNION SELECT s.word, w.word FROM shorter s JOIN words w ON s.rest = w.word
+  UNION SELECT w.word, s.word FROM shorter s JOIN words w ON s.rest = w.word),
+ranked AS (
+  SELECT m.word, m.other, o.n AS other_n, count(*) OVER (PARTITION BY m.word) AS n_near,
+         row_number() OVER (PARTITION BY m.word ORDER BY o.n DESC, m.other) AS r
+  FROM met m JOIN words o ON o.word = m.other),
+formed AS (
+  SELECT w.word, w.n, coalesce(b.n_near, 0)::BIGINT AS n_near,
+         CASE WHEN b.other_n >= 2 * w.n THEN b.other END AS form,
+         CASE WHEN b.other_n >= 2 * w.n THEN b.other_n END AS form_n
+  FROM words w LEFT JOIN ranked b ON b.word = w.word AND b.r = 1),
+followed(word, root) AS (
+  SELECT word, word FROM formed
+  UNION ALL
+  SELECT f.word, s.form FROM followed f JOIN formed s ON s.word = f.root WHERE s.form IS NOT NULL)
+SELECT s.word, s.form, f.root, s.n, s.n_near, s.form_n
+FROM formed s JOIN followed f ON f.word = s.word JOIN formed e ON e.word = f.root AND e.form IS NULL
+"""
+
+#: Every pair of a label.
+TILES = """
+WITH RECURSIVE
+valid AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM valid a JOIN valid b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_inner_product(a.v, b.v) / (sqrt(list_inner_product(a.v, a.v)) * sqrt(list_inner_product(b.v, b.v))) >= 0.93),
+reached(vec_id, other) AS (
+  SELECT vec_id, vec_id FROM embeddings
+  UNION
+  SELECT r.vec_id, l.b FROM reached r JOIN links l ON l.a = r.other)
+SELECT e.vec_id, coalesce(l.n, 0)::BIGINT AS n_links, r.least AS component_id, e.vec_id = r.least AS kept
+FROM embeddings e
+JOIN (SELECT vec_id, min(other) AS least FROM reached GROUP BY vec_id) r USING (vec_id)
+LEFT JOIN (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a) l USING (vec_id)
+"""
+
+
 def _licenses() -> str:
     """Every block of every template, without filters."""
     rows = ",\n    ".join(
