@@ -9,9 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cardwatch.functions.geo import haversine_km
+from cardwatch.functions.geo import haversine_km, known_degrees
 from cardwatch.functions.scoring import with_risk_columns
-from cardwatch.operators.history import NO_TIME, WHEN, Timeline, slice_tails, trailing_history
+from cardwatch.operators.history import WHEN, Timeline, short_history, trailing_history
 from cardwatch.settings import DEFAULTS, RuleSettings
 
 SECONDS_PER_HOUR = 3600.0
@@ -28,9 +28,7 @@ def apply_velocity_rule(
     df: DataFrame, card_col: str = "card_id", ts_col: str = "date", settings: RuleSettings = DEFAULTS
 ) -> DataFrame:
     """Count a card's rows over the last window of whole seconds, both ends included."""
-    cards = Timeline(df, card_col, ts_col, settings.velocity_window_seconds)
-    ticks = cards.ticks(_rows())
-    rows = cards.recall(cards.rows, trailing_history(ticks, cards.width, ["_count"], own_second=True))
+    rows = short_history(df, card_col, ts_col, settings.velocity_window_seconds)
     return rows.select(*df.columns, *_velocity_columns(settings))
 
 
@@ -46,12 +44,16 @@ def apply_geo_jump_rule(
     """Speed since the card's previous row, in the order of time and ``tie_break``.
 
     The flag is NULL where the previous place is known but no speed can be told: the present place
-    is unknown or no whole second has passed. Rows of one card and second are ordered in one task.
+    is unknown or no whole second has passed. ``settings`` may pass over rows without a place, or forget a
+    place after some time; a row whose place before is forgotten has none. A card's rows of about a day
+    are ordered in one task.
     """
-    cards = Timeline(df, card_col, ts_col, settings.velocity_window_seconds)
-    places = _Places(lat_col, lon_col, _order(df, ts_col, tie_break))
-    rows = _with_card_history(cards, places, [])
-    return rows.select(*df.columns, *places.columns(settings))
+    places = _Places(lat_col, lon_col, settings)
+    order = _order(df, ts_col, tie_break)
+    rows = short_history(
+        df, card_col, ts_col, settings.velocity_window_seconds, order, places.place, places.skip, count=False
+    )
+    return rows.select(*df.columns, *places.columns())
 
 
 def apply_card_rules(
@@ -63,11 +65,11 @@ def apply_card_rules(
     tie_break: str = "id",
     settings: RuleSettings = DEFAULTS,
 ) -> DataFrame:
-    """Velocity and geo-jump together: one shuffle of the rows, one history."""
-    cards = Timeline(df, card_col, ts_col, settings.velocity_window_seconds)
-    places = _Places(lat_col, lon_col, _order(df, ts_col, tie_break))
-    rows = _with_card_history(cards, places, [_rows()])
-    return rows.select(*df.columns, *_velocity_columns(settings), *places.columns(settings))
+    """Velocity and geo-jump together, over one layout of the rows."""
+    places = _Places(lat_col, lon_col, settings)
+    order = _order(df, ts_col, tie_break)
+    rows = short_history(df, card_col, ts_col, settings.velocity_window_seconds, order, places.place, places.skip)
+    return rows.select(*df.columns, *_velocity_columns(settings), *places.columns())
 
 
 def apply_spending_deviation_rule(
@@ -88,8 +90,9 @@ def score_all_rules(df: DataFrame, settings: RuleSettings = DEFAULTS) -> DataFra
     """All four rules and the verdict, for rows with the standard transaction columns and
     ``merchant_latitude``/``merchant_longitude``.
 
-    Two shuffles of the whole rows, by card and by customer. The histories are taken from ``df``
-    itself, in narrow passes; hand in a written table rather than a long chain of joins.
+    The rows are shuffled by card, once more for the first rows of a day, and by customer; the customers'
+    totals are taken from ``df`` itself in a narrow pass. Hand in a written table rather than a long chain
+    of joins.
     """
     by_card = apply_card_rules(apply_amount_rule(df, settings=settings), settings=settings)
     judged = _deviation(by_card, df, "client_id", "date", "amount", settings)
@@ -102,7 +105,7 @@ def _deviation(
     """``df`` extended by the rule; histories are made of ``source``, which has the same rows."""
     customers = Timeline(source, customer_col, ts_col, settings.deviation_window_seconds)
     ticks = customers.ticks(F.sum(amount_col).alias("_spent"), F.count(amount_col).alias("_payments"))
-    history = trailing_history(ticks, customers.width, ["_spent", "_payments"], own_second=False)
+    history = trailing_history(ticks, customers.width, ["_spent", "_payments"])
     # As wide as a plain sum, so that a decimal quotient keeps digits enough to be rounded once.
     total, kind = (source.select(f(amount_col)).schema[0].dataType for f in (F.sum, F.avg))
     mean = F.when(F.col("_payments") > 0, (F.col("_spent").cast(total) / F.col("_payments")).cast(kind))
@@ -115,53 +118,38 @@ def _deviation(
     )
 
 
-def _rows() -> Column:
-    return F.count(F.lit(1)).alias("_count")
-
-
-def _with_card_history(cards: Timeline, places: _Places, totals: list[Column]) -> DataFrame:
-    """The rows with their predecessor of the same second, the place before it, and the totals."""
-    ticks = cards.ticks(places.latest(), *totals)
-    names = ["_count"] if totals else []
-    tails = slice_tails(ticks, cards.width, "_place")
-    history = trailing_history(ticks, cards.width, names, True, last="_place", tails=tails)
-    return cards.recall(places.with_predecessor(cards), history)
-
-
 def _velocity_columns(settings: RuleSettings) -> list[Column]:
     count = F.col("_count")
     return [count.alias("txn_count_in_window"), (count >= settings.velocity_count).alias("flag_velocity")]
 
 
-def _order(df: DataFrame, ts_col: str, tie_break: str) -> list[Column]:
-    return [F.col(name) for name in (ts_col, tie_break) if name in df.columns]
+def _order(df: DataFrame, ts_col: str, tie_break: str) -> list[str]:
+    return [name for name in (ts_col, tie_break) if name in df.columns]
 
 
 class _Places:
     """Where a card was, row by row."""
 
-    def __init__(self, lat_col: str, lon_col: str, order: list[Column]):
-        self.order = order
+    def __init__(self, lat_col: str, lon_col: str, settings: RuleSettings):
+        self.settings = settings
         self.lat, self.lon = F.col(lat_col), F.col(lon_col)
         self.place = F.struct(self.lat.alias("lat"), self.lon.alias("lon"))
-
-    def with_predecessor(self, cards: Timeline) -> DataFrame:
-        """``_before`` (at, was): the previous row of the same second."""
-        here = F.struct(F.col(WHEN).alias("at"), self.place.alias("was"))
-        return cards.rows.withColumn("_before", F.lag(here).over(cards.second().orderBy(*self.order)))
-
-    def latest(self) -> Column:
-        return F.max_by(self.place, F.struct(*self.order)).alias("_place")
-
-    def columns(self, settings: RuleSettings) -> list[Column]:
-        # Only the first row of a second has nothing before it there.
-        before = F.coalesce("_before", "_prev")
-        at, was = before["at"], before["was"]
-        hours = (F.col(WHEN) - F.nullif(at, F.lit(NO_TIME))) / SECONDS_PER_HOUR
+        self.skip = None
+        if settings.geo_ignore_unknown_places:
+            self.skip = known_degrees(lat_col).isNull() | known_degrees(lon_col).isNull()
+
+    def columns(self) -> list[Column]:
+        at, was = F.col("_prev.at"), F.col("_prev.was")
+        elapsed = F.col(WHEN) - at
+        hours = elapsed / SECONDS_PER_HOUR
         distance = haversine_km(was["lat"], was["lon"], self.lat, self.lon)
-        speed = F.when(hours > 0, distance / hours)
         placed = F.nanvl(was["lat"].cast("double"), F.lit(None)).isNotNull()
+        if self.settings.geo_lookback_seconds is not None:
+            # Where no time can be told, nothing is known to be too long ago.
+            recent = F.coalesce(elapsed <= self.settings.geo_lookback_seconds, F.lit(True))
+            placed, hours = placed & recent, F.when(recent, hours)
+        speed = F.when(hours > 0, distance / hours)
         return [
             speed.alias("_implied_speed_kmh"),
-            (placed & (speed > settings.max_speed_kmh)).alias("flag_geo_jump"),
+            (placed & (speed > self.settings.max_speed_kmh)).alias("flag_geo_jump"),
         ]

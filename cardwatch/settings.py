@@ -19,6 +19,10 @@ class RuleSettings:
     velocity_count: int = 3
     velocity_window_seconds: int = 300
     max_speed_kmh: float = 900.0
+    # Compare with the last row that has a place, instead of with the row before.
+    geo_ignore_unknown_places: bool = False
+    # How long a place is remembered; for ever by default.
+    geo_lookback_seconds: int | None = None
     deviation_multiplier: float = 3.0
     deviation_window_days: int = 30
     points_per_rule: int = 25

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cardwatch.functions import haversine_km
 from cardwatch.operators.rules import (
     apply_amount_rule,
+    apply_card_rules,
     apply_geo_jump_rule,
     apply_spending_deviation_rule,
     apply_velocity_rule,
@@ -181,3 +182,52 @@ def test_rules_run_no_job_while_they_are_built(spark):
     df = spark.createDataFrame([("c", "p", NOON, 1.0, *NEW_YORK, 1)], "card_id string, client_id string, date timestamp, amount double, merchant_latitude double, merchant_longitude double, id long")
     score_all_rules(df)
     assert spark.sparkContext.statusTracker().getJobIdsForGroup(group) == []
+
+
+@pytest.mark.parametrize("ignore", [False, True])
+@pytest.mark.parametrize("lookback", [None, 3600])
+def test_place_before_over_days_against_brute_force(spark, ignore, lookback):
+    """Cards that pause for days, rows without places or times, several rows a second."""
+    rng = random.Random(11)
+    settings = RuleSettings(geo_ignore_unknown_places=ignore, geo_lookback_seconds=lookback)
+    rows = []
+    for i in range(400):
+        card = "hot" if rng.random() < 0.4 else f"c{rng.randrange(12)}"
+        when = datetime(2024, 1, 1) + timedelta(days=rng.choice([0, 0, 1, 4, 40]), seconds=rng.randrange(9000), milliseconds=rng.randrange(2) * 500)
+        place = rng.choice([(None, None), (5.0, None), (rng.uniform(-60, 60), rng.uniform(-100, 100)), (rng.uniform(-60, 60), float("nan"))])
+        rows.append((card, None if i % 40 == 0 else when, *place, i))
+    got = {r.id: r for r in apply_geo_jump_rule(spark.createDataFrame(rows, GEO), settings=settings).collect()}
+    assert len(got) == len(rows)
+    known = lambda x: x is not None and x == x
+    second = lambda moment: None if moment is None else moment.replace(microsecond=0)
+    order = lambda r: (r[1] or datetime.min, r[4])
+    for card, when, lat, lon, i in rows:
+        before = [r for r in rows if r[0] == card and order(r) < (when or datetime.min, i)]
+        if ignore:
+            before = [r for r in before if known(r[2]) and known(r[3])]
+        prev = max(before, key=order, default=None)
+        if prev and lookback and when and prev[1] and (second(when) - second(prev[1])).total_seconds() > lookback:
+            prev = None
+        if prev is None or not known(prev[2]):
+            assert got[i].flag_geo_jump is False, i
+        elif not (known(lat) and known(lon) and known(prev[3])) or None in (when, prev[1]) or second(prev[1]) >= second(when):
+            assert got[i].flag_geo_jump is None, i
+        else:
+            km = spark_free_km(prev[2], prev[3], lat, lon)
+            speed = km / ((second(when) - second(prev[1])).total_seconds() / 3600)
+            assert got[i]._implied_speed_kmh == pytest.approx(speed)
+            assert got[i].flag_geo_jump is (speed > 900)
+
+
+def spark_free_km(*degrees):
+    from math import asin, cos, radians, sin, sqrt
+
+    a, b, c, d = map(radians, degrees)
+    return 2 * 6371.0 * asin(sqrt(sin((c - a) / 2) ** 2 + cos(a) * cos(c) * sin((d - b) / 2) ** 2))
+
+
+def test_card_rules_take_two_shuffles_and_no_join(spark):
+    df = spark.createDataFrame([("c", NOON, *NEW_YORK, 1)], GEO)
+    for rule, shuffles in ((apply_velocity_rule, 1), (apply_geo_jump_rule, 2), (apply_card_rules, 2)):
+        plan = rule(df)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == shuffles and "Join" not in plan
