@@ -1,5 +1,6 @@
 from cardwatch.streaming.scoring import (
     LANDING_SCHEMA,
+    delivered_once,
     enrich_stream,
     read_landing,
     run_available,
@@ -11,6 +12,7 @@ from cardwatch.streaming.scoring import (
 
 __all__ = [
     "LANDING_SCHEMA",
+    "delivered_once",
     "enrich_stream",
     "read_landing",
     "run_available",

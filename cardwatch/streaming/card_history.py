@@ -92,16 +92,26 @@ class CardHistory(StatefulProcessor):
             # Rows older than the last place go before it: they arrived late.
             late = bisect_left(seconds, before[0])
             points.insert(late, tuple(before[:3]))
-        # The card's very first row has nothing before it; a late first row had, but it is forgotten.
-        flags = [None if late else False, *map(self._judge, points, points[1:])]
+        flags, previous = [], None
+        for k, point in enumerate(points):
+            # The card's very first row has nothing before it; a late first row had, but it is forgotten.
+            first = None if k < late else False
+            flags.append(first if previous is None else self._judge(previous, point))
+            if not (self._settings.geo_ignore_unknown_places and None in point):
+                previous = point
         if before:
             del flags[late]
-        return flags, points[-1]
+        return flags, previous or (points[-1][0], None, None)
 
     def _judge(self, previous: tuple, present: tuple) -> bool | None:
         elapsed = present[0] - previous[0]
-        if previous[1] is None:
+        if previous[1] is None or self._forgotten(previous[0], present[0]):
             return False
         if elapsed <= 0 or previous[0] == NO_TIME or None in (*previous, *present):
             return None
         return distance_km(*previous[1:], *present[1:]) / (elapsed / 3600.0) > self._settings.max_speed_kmh
+
+    def _forgotten(self, then: int, now: int) -> bool:
+        """Too long ago by the rows' own times; where no time can be told, nothing is."""
+        limit = self._settings.geo_lookback_seconds
+        return limit is not None and NO_TIME not in (then, now) and now - then > limit

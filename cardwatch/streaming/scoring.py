@@ -63,6 +63,19 @@ def enrich_stream(
     return placed.join(spending, "client_id", "left")
 
 
+def delivered_once(stream: DataFrame, within: str, id_col: str = "id", ts_col: str = "date") -> DataFrame:
+    """Each id once, although it may land again up to ``within`` (as ``"2 days"``) of event time later.
+
+    Ids are kept in state until the watermark, the latest time seen less ``within``, has passed them by
+    as much again. Rows that are behind the watermark on arrival are dropped as too late to tell, so choose
+    ``within`` for the longest delay expected. Rows without a time cannot age: they pass unchecked.
+    """
+    moment = F.col(ts_col).cast("timestamp")
+    timed = stream.filter(F.col(ts_col).isNotNull()).withColumn("_event_time", moment)
+    once = timed.withWatermark("_event_time", within).dropDuplicatesWithinWatermark([id_col])
+    return once.select(*stream.columns).unionByName(stream.filter(F.col(ts_col).isNull()))
+
+
 def with_simple_flags(enriched: DataFrame, settings: RuleSettings = DEFAULTS) -> DataFrame:
     """The two rules that need no state: the amount, and the amount against the reference mean."""
     mean = F.col("avg_amount_30d")
@@ -116,8 +129,12 @@ def score_stream(
     settings: RuleSettings = DEFAULTS,
     scored_at: datetime | Column | None = None,
     idle_seconds: int | None = None,
+    once_within: str | None = None,
 ) -> DataFrame:
-    """Landing rows to risk rows."""
+    """Landing rows to risk rows. With ``once_within``, rows landing again so long after count once, before
+    any rule sees them (:func:`delivered_once`)."""
+    if once_within is not None:
+        stream = delivered_once(stream, once_within)
     flagged = with_simple_flags(enrich_stream(stream, merchants, geo, spending), settings).select(
         STATE_COLUMNS
     )

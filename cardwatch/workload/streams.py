@@ -134,6 +134,37 @@ def stream_check(spark, sf_dir):
     )
 
 
+@query(
+    with_tables(
+        f"""SELECT id, id AS transaction_id, client_id, card_id, fraud_flag, risk_score, risk_reason
+            FROM ({verdict_sql("looked_up")})""",
+        *TABLES,
+        **BY_LOOKUP,
+    )
+)
+def stream_delivered_twice(spark, sf_dir):
+    """A third of the rows land twice: at once, or again with the next run. Each counts once."""
+    root = fresh_folder(spark, "stream")
+    rows, static_sides = landing_rows(spark, sf_dir), statics(spark, sf_dir)
+    again = F.col("id") % 3 == 0
+    first, later = "date < '2024-01-16' or date is null", "date >= '2024-01-16'"
+    deliveries = [
+        rows.filter(first).unionByName(rows.filter(first).filter(again & (F.col("id") % 2 == 0) & F.col("date").isNotNull())),
+        rows.filter(later).unionByName(rows.filter(again & F.col("date").isNotNull())),
+    ]
+    for delivered in deliveries:
+        # One file each: the first row of an id in it counts, whichever copy that is.
+        delivered.repartitionByRange("date").sortWithinPartitions("date").write.mode("append").parquet(f"{root}/landing")
+        stream = read_landing(spark, f"{root}/landing", rows.schema, max_files_per_trigger=None)
+        run_available(
+            score_stream(stream, *static_sides, scored_at=LOADED_AT, once_within="40 days"),
+            f"{root}/out",
+            f"{root}/checkpoint",
+            state_partitions=spark.sparkContext.defaultParallelism,
+        )
+    return spark.read.parquet(f"{root}/out").drop("scored_at")
+
+
 @query(
     with_tables(
         "SELECT id, CAST(epoch_us(date) AS BIGINT) AS date_us, amount FROM txn",

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from cardwatch.operators.rules import apply_geo_jump_rule, apply_velocity_rule
 from cardwatch.settings import RuleSettings
-from cardwatch.streaming import read_landing, run_available, score_card_state, score_stream, unscored_flags
+from cardwatch.streaming import delivered_once, read_landing, run_available, score_card_state, score_stream, unscored_flags
 
 COLUMNS = "id long, date timestamp, card_id string, merchant_latitude double, merchant_longitude double"
 SETTINGS = RuleSettings(velocity_window_seconds=600)
@@ -27,11 +27,11 @@ def rows_in_order(count=600, seed=3):
     return rows
 
 
-def play(spark, tmp_path, chunks, **more):
+def play(spark, tmp_path, chunks, settings=SETTINGS, **more):
     for chunk in chunks:
         spark.createDataFrame(chunk, COLUMNS).coalesce(1).write.mode("append").parquet(str(tmp_path / "landing"))
         stream = read_landing(spark, str(tmp_path / "landing"), COLUMNS)
-        run_available(score_card_state(stream, SETTINGS, **more), str(tmp_path / "out"), str(tmp_path / "ckpt"), 300, state_partitions=2)
+        run_available(score_card_state(stream, settings, **more), str(tmp_path / "out"), str(tmp_path / "ckpt"), 300, state_partitions=2)
     return spark.read.parquet(str(tmp_path / "out"))
 
 
@@ -50,6 +50,41 @@ def test_stream_equals_batch_over_restarts(spark, tmp_path, idle_seconds):
     assert {flag for flag, _ in seen} == {True, False} and {flag for _, flag in seen} == {True, False, None}
 
 
+@pytest.mark.parametrize("ignore", [False, True])
+@pytest.mark.parametrize("lookback", [None, 300])
+def test_stream_equals_batch_with_options(spark, tmp_path, ignore, lookback):
+    settings = RuleSettings(velocity_window_seconds=600, geo_ignore_unknown_places=ignore, geo_lookback_seconds=lookback)
+    rows = rows_in_order(300, seed=5)
+    # A card whose place is not known for a whole run, and one with half a place.
+    rows += [(900 + k, rows[-1][1] + timedelta(seconds=5 + k), "dark", None, None) for k in range(3)]
+    rows += [(910, rows[-1][1] + timedelta(seconds=50), "dark", 5.0, None), (911, rows[-1][1] + timedelta(seconds=90), "dark", 5.0, 9.0)]
+    rows += [(912, rows[-1][1] + timedelta(seconds=200), "dark", 50.0, 9.0)]
+    got = play(spark, tmp_path, [rows[:150], rows[150:302], rows[302:306], rows[306:]], settings)
+    batch = apply_geo_jump_rule(apply_velocity_rule(spark.createDataFrame(rows, COLUMNS), settings=settings), settings=settings)
+    columns = ["id", "flag_velocity", "flag_geo_jump"]
+    assert {r.id: r for r in got.select(*columns).collect()} == {r.id: r for r in batch.select(*columns).collect()}
+
+
+def test_rows_landing_twice_count_once(spark, tmp_path):
+    noon = datetime(2024, 1, 1, 12)
+    rows = [(k, noon + timedelta(minutes=k), "c", 1.0, 1.0) for k in range(4)] + [(9, None, "c", 1.0, 1.0)]
+    runs = [rows + rows[1:3], rows[:3] + [(7, noon + timedelta(hours=3), "c", 1.0, 1.0)], [rows[3], (8, noon + timedelta(hours=4), "c", 1.0, 1.0)]]
+    for chunk in runs:
+        spark.createDataFrame(chunk, COLUMNS).coalesce(1).write.mode("append").parquet(str(tmp_path / "landing"))
+        once = delivered_once(read_landing(spark, str(tmp_path / "landing"), COLUMNS), "6 hours")
+        assert once.schema.names == [c.split()[0] for c in COLUMNS.split(", ")]
+        run_available(once, str(tmp_path / "out"), str(tmp_path / "ckpt"), 300, state_partitions=2)
+    got = sorted((r.id for r in spark.read.parquet(str(tmp_path / "out")).collect()))
+    assert got == [0, 1, 2, 3, 7, 8, 9]
+    # By now the watermark has passed the first rows: what is behind it is too late.
+    spark.createDataFrame([(20, noon + timedelta(days=2), "c", 1.0, 1.0)], COLUMNS).coalesce(1).write.mode("append").parquet(str(tmp_path / "landing"))
+    spark.createDataFrame([(21, noon, "c", 1.0, 1.0)], COLUMNS).coalesce(1).write.mode("append").parquet(str(tmp_path / "late"))
+    for folder in ("landing", "landing"):
+        once = delivered_once(read_landing(spark, str(tmp_path / folder), COLUMNS), "6 hours")
+        run_available(once, str(tmp_path / "out"), str(tmp_path / "ckpt"), 300, state_partitions=2)
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 8
+
+
 def test_late_rows_are_judged_by_what_is_kept(spark, tmp_path):
     noon = datetime(2024, 1, 1, 12)
     first = [(1, noon, "c", 10.0, 10.0), (2, noon + timedelta(minutes=5), "c", 10.0, 10.0)]
