@@ -1,4 +1,5 @@
 from cardwatch.operators.access import Viewer, card_number_mask, assign_regions, secured_view
+from cardwatch.operators.policies import policy_view, register_sql_functions
 from cardwatch.operators.quality import (
     check_orphan_keys,
     check_rescued_rows,
@@ -10,7 +11,9 @@ from cardwatch.operators.quality import (
     check_missing_geo,
     check_null_counts,
     check_schema_drift,
+    counting,
     schema_drift,
+    type_drift,
 )
 from cardwatch.operators.ranking import global_ntile
 from cardwatch.operators.rules import (
@@ -44,7 +47,11 @@ __all__ = [
     "check_missing_geo",
     "check_null_counts",
     "check_schema_drift",
+    "counting",
+    "policy_view",
+    "register_sql_functions",
     "schema_drift",
+    "type_drift",
     "scd1_upsert",
     "scd2_merge",
     "scd2_scd3_merge",

@@ -49,13 +49,15 @@ def scd2_merge(
     keys: Sequence[str],
     tracked: Sequence[str],
     effective_ts: datetime | Column | None = None,
+    scd1_cols: Sequence[str] = (),
 ) -> DataFrame:
     """A tracked change closes the current row and opens a new one.
 
-    Columns outside ``tracked`` are not refreshed on rows that stay. ``effective_ts`` is one moment
-    for the whole run, the clock by default.
+    Columns outside ``tracked`` are not refreshed on rows that stay, but for ``scd1_cols``: those take the
+    source's values in place on the current row. A row that is closed keeps what it had. ``effective_ts`` is
+    one moment for the whole run, the clock by default.
     """
-    return _next_snapshot(target, source, keys, tracked, None, effective_ts)
+    return _next_snapshot(target, source, keys, tracked, None, effective_ts, scd1_cols)
 
 
 def scd2_scd3_merge(
@@ -65,13 +67,14 @@ def scd2_scd3_merge(
     scd2_cols: Sequence[str],
     scd3_col: str,
     effective_ts: datetime | Column | None = None,
+    scd1_cols: Sequence[str] = (),
 ) -> DataFrame:
     """As :func:`scd2_merge` for ``scd2_cols``; a change of ``scd3_col`` alone is made in place.
 
     ``previous_<scd3_col>`` keeps the one value before. A new version takes the closed row's value
     there, changed or not.
     """
-    return _next_snapshot(target, source, keys, scd2_cols, scd3_col, effective_ts)
+    return _next_snapshot(target, source, keys, scd2_cols, scd3_col, effective_ts, scd1_cols)
 
 
 def require_unique_keys(source: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -114,7 +117,11 @@ def _next_snapshot(
     tracked: Sequence[str],
     scd3_col: str | None,
     effective_ts: datetime | Column | None,
+    scd1_cols: Sequence[str] = (),
 ) -> DataFrame:
+    clash = sorted(set(scd1_cols) & {*keys, *tracked, scd3_col})
+    if clash:
+        raise ValueError(f"columns with two kinds of history: {clash}")
     moment = _moment(effective_ts).cast("timestamp")
     previous = f"previous_{scd3_col}" if scd3_col else None
     fresh = require_unique_keys(source, keys)
@@ -144,6 +151,7 @@ def _next_snapshot(
     opened = new | {VALID_FROM: moment, VALID_TO: F.lit(None), CURRENT: F.lit(True)}
     closed = version(old | {VALID_TO: moment, CURRENT: F.lit(False)})
     first = version(opened)
+    refreshed = old | {name: new[name] for name in scd1_cols}
     successor = version(opened | ({previous: old[scd3_col]} if scd3_col else {}))
 
     cases = (
@@ -152,7 +160,7 @@ def _next_snapshot(
         .when(_differs(tracked, old.get, new.get), F.array(closed, successor))
     )
     if scd3_col:
-        in_place = version(old | {previous: old[scd3_col], scd3_col: new[scd3_col]})
+        in_place = version(refreshed | {previous: old[scd3_col], scd3_col: new[scd3_col]})
         cases = cases.when(_differs([scd3_col], old.get, new.get), F.array(in_place))
 
     is_current = F.coalesce(F.col(CURRENT), F.lit(False))
@@ -160,6 +168,6 @@ def _next_snapshot(
     current = open_rows.select(*keys, F.struct(*target.columns).alias("_old"))
     arriving = fresh.select(*keys, F.struct(*source.columns).alias("_new"))
     emitted = current.join(arriving, list(keys), "full_outer").select(
-        F.inline(cases.otherwise(F.array(version(old))))
+        F.inline(cases.otherwise(F.array(version(refreshed))))
     )
     return target.filter(~is_current).unionByName(emitted)

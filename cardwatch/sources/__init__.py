@@ -1,6 +1,6 @@
 from cardwatch.sources.ingest import ingest_csv_folder, read_raw
 from cardwatch.sources.lookups import read_json_map, read_zip_centroids
-from cardwatch.sources.sinks import with_column_comments, write_by_month, write_clustered
+from cardwatch.sources.sinks import with_column_comments, write_by_month, write_clustered, write_interleaved
 from cardwatch.sources.snapshots import DimensionTable, SnapshotTable
 
 __all__ = [
@@ -13,4 +13,5 @@ __all__ = [
     "with_column_comments",
     "write_by_month",
     "write_clustered",
+    "write_interleaved",
 ]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -236,3 +238,47 @@ def zip_lookup(spark, sf_dir):
         .join(read_zip_centroids(spark, path), "zip", "left")
         .select("id", "zip", "latitude", "longitude")
     )
+
+
+@query(
+    with_tables(
+        """SELECT c.id, c.card_type, CASE WHEN changed THEN '12/2027' ELSE u.expires END AS expires, c.has_chip,
+             c.credit_limit, '2024-02-01' AS valid_from, CASE WHEN changed THEN '2024-03-01' END AS valid_to,
+             NOT changed AS is_current
+           FROM cards c JOIN updated u USING (id) JOIN compared USING (id)
+           UNION ALL
+           SELECT u.id, u.card_type, u.expires, u.has_chip, u.credit_limit, '2024-03-01', NULL, true
+           FROM updated u JOIN compared USING (id) WHERE changed
+           UNION ALL
+           SELECT id, 'Earlier', '01/2001', has_chip, credit_limit, '2023-01-01', '2024-02-01', false
+           FROM cards WHERE id % 3 = 0""",
+        "cards",
+        updated=CARD_UPDATE,
+        compared="""SELECT c.id, c.card_type IS DISTINCT FROM u.card_type OR c.has_chip IS DISTINCT FROM u.has_chip
+                      OR c.credit_limit IS DISTINCT FROM u.credit_limit AS changed
+                    FROM cards c JOIN updated u ON c.id = u.id""",
+    )
+)
+def scd_hybrid(spark, sf_dir):
+    """Expiry dates are refreshed in place: alone, beside a tracked change, and never on closed rows."""
+    loaded = card_snapshot(spark, sf_dir)
+    closed = loaded.filter(F.col("id") % 3 == 0).withColumns(
+        {
+            "card_type": F.lit("Earlier"),
+            "expires": F.lit("01/2001"),
+            "effective_start": F.lit(datetime(2023, 1, 1)).cast("timestamp"),
+            "effective_end": F.lit(LOADED_AT).cast("timestamp"),
+            "is_current": F.lit(False),
+        }
+    )
+    merged = scd2_merge(
+        loaded.unionByName(closed),
+        card_update(spark, sf_dir),
+        ["id"],
+        ["card_type", "has_chip", "credit_limit"],
+        MERGED_AT,
+        scd1_cols=["expires"],
+    )
+    return dated(merged).select(
+        *("id", "card_type", "expires", "has_chip", "credit_limit", "valid_from", "valid_to", "is_current")
+    )

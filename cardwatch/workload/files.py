@@ -9,11 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cardwatch.functions import parse_currency
-from cardwatch.operators import rescued_rows
+from cardwatch.operators import counting, rescued_rows, type_drift
 from cardwatch.session import fresh_folder
-from cardwatch.sources import SnapshotTable, ingest_csv_folder, write_by_month, write_clustered
+from cardwatch.sources import SnapshotTable, ingest_csv_folder, write_by_month, write_clustered, write_interleaved
 from cardwatch.sources.schemas import TRANSACTION_COLUMNS, TRANSACTION_HINTS
-from cardwatch.workload.bindings import raw_transactions, transactions, with_tables
+from cardwatch.workload.bindings import raw_transactions, table, transactions, with_tables
 from cardwatch.workload.registry import query
 
 MID_MONTH = "2024-01-15"
@@ -168,3 +168,82 @@ def expired_versions(spark, sf_dir):
     return sizes.join(expired, "version").select(
         "version", F.date_format("committed_at", "yyyy-MM-dd").alias("committed_on"), "row_count"
     )
+
+
+COUNTED = ("id", "amount", "zip", "merchant_id")
+
+
+@query(
+    with_tables(
+        " UNION ALL ".join(
+            f"SELECT '{name}' AS column_name, count(*) AS n_rows, count(*) FILTER ({name} IS NULL) AS n_nulls FROM txn"
+            for name in COUNTED
+        ),
+        "txn",
+    )
+)
+def publish_counts(spark, sf_dir):
+    """Rows and NULLs as the publishing write itself counted them."""
+    rows, counts = counting(transactions(spark, sf_dir), "transactions", COUNTED)
+    SnapshotTable(spark, fresh_folder(spark, "fact")).publish(rows, datetime(2024, 1, 1))
+    found = [(name, counts.rows, counts.nulls[name]) for name in COUNTED]
+    return spark.createDataFrame(found, "column_name string, n_rows long, n_nulls long")
+
+
+CURVE = ("l_orderkey", "l_partkey")
+FILES = 16
+
+
+def filters(spark: SparkSession, sf_dir: str) -> dict[str, tuple[int, int]]:
+    """For each clustered column the second quarter of its range."""
+    ends = table(spark, sf_dir, "lineitem").agg(*[f(name).alias(f"{f.__name__}_{name}") for name in CURVE for f in (F.min, F.max)]).first()
+    found = {}
+    for name in CURVE:
+        low, high = ends[f"min_{name}"], ends[f"max_{name}"]
+        found[name] = (low + (high - low) // 4, low + (high - low) // 2)
+    return found
+
+
+def files_for(spark: SparkSession, path: str, name: str, low: int, high: int) -> int:
+    """How many files a filter cannot skip by their least and greatest value."""
+    spans = spark.read.parquet(path).groupBy(F.input_file_name()).agg(F.min(name).alias("low"), F.max(name).alias("high"))
+    return spans.filter((F.col("high") >= low) & (F.col("low") <= high)).count()
+
+
+@query("""
+    WITH ends AS (SELECT min(l_orderkey) AS lo, max(l_orderkey) AS ho, min(l_partkey) AS lp, max(l_partkey) AS hp FROM lineitem)
+    SELECT 'l_orderkey' AS column_name, count(*) AS n_rows, sum(l_quantity) AS quantity, true AS skips_files FROM lineitem, ends
+    WHERE l_orderkey BETWEEN lo + (ho - lo) // 4 AND lo + (ho - lo) // 2
+    UNION ALL
+    SELECT 'l_partkey', count(*), sum(l_quantity), true FROM lineitem, ends
+    WHERE l_partkey BETWEEN lp + (hp - lp) // 4 AND lp + (hp - lp) // 2""")
+def interleaved_lineitem(spark, sf_dir):
+    """Line items along a curve over two independent columns: a filter on either one skips files. Sorted by
+    both, the filter on the second skips none."""
+    path = fresh_folder(spark, "lineitem")
+    write_interleaved(table(spark, sf_dir, "lineitem"), path, CURVE, FILES)
+    parts = []
+    for name, (low, high) in filters(spark, sf_dir).items():
+        skips = files_for(spark, path, name, low, high) < 0.75 * FILES
+        kept = spark.read.parquet(path).filter(F.col(name).between(low, high))
+        totals = kept.agg(F.count(F.lit(1)).alias("n_rows"), F.sum("l_quantity").alias("quantity"))
+        parts.append(totals.select(F.lit(name).alias("column_name"), "n_rows", "quantity", F.lit(skips).alias("skips_files")))
+    return parts[0].unionByName(parts[1])
+
+
+# An expectation of the documents table that three columns do not meet.
+EXPECTED = {"doc_id": "bigint", "text": "string", "lang": "string", "source": "int", "n_chars": "double", "licence": "string"}
+
+
+@query("""
+    WITH expected(column_name, expected_type) AS (VALUES ('doc_id', 'bigint'), ('text', 'string'), ('lang', 'string'),
+           ('source', 'int'), ('n_chars', 'double'), ('licence', 'string')),
+    found AS (SELECT column_name, CASE lower(data_type) WHEN 'varchar' THEN 'string' WHEN 'integer' THEN 'int' ELSE lower(data_type) END AS found_type
+              FROM (DESCRIBE documents) t(column_name, data_type))
+    SELECT coalesce(e.column_name, f.column_name) AS "column",
+      CASE WHEN found_type IS NULL THEN 'missing' WHEN expected_type IS NULL THEN 'unexpected'
+           WHEN expected_type = found_type THEN 'matched' ELSE 'retyped' END AS status, expected_type, found_type
+    FROM expected e FULL JOIN found f USING (column_name)""")
+def schema_drift(spark, sf_dir):
+    """The documents table against an expectation: columns and types."""
+    return type_drift(table(spark, sf_dir, "documents"), EXPECTED)

@@ -28,6 +28,7 @@ from cardwatch.workload.bindings import (
     customers,
     flags_sql,
     geo,
+    km_sql,
     merchants,
     order_transactions,
     placed_transactions,
@@ -92,6 +93,45 @@ def rule_spending_deviation(spark, sf_dir):
     )
 
 
+def jumps_sql(rows: str, previous: str, lookback: int | None = None) -> str:
+    """The geo rule by what ``previous`` takes for the place before."""
+    recent = "true" if lookback is None else f"sec - prev_sec <= {lookback}"
+    km = km_sql("prev_lat", "prev_lon", "merchant_latitude", "merchant_longitude")
+    return f"""
+        SELECT id, card_id, round(speed, 3) AS implied_speed_kmh,
+          coalesce(prev_lat IS NOT NULL AND {recent}, false) AND speed > 900 AS flag_geo_jump
+        FROM (SELECT *, CASE WHEN sec > prev_sec AND {recent} THEN {km} / ((sec - prev_sec) / 3600.0) END AS speed
+              FROM (SELECT *, {previous.format("merchant_latitude")} AS prev_lat,
+                      {previous.format("merchant_longitude")} AS prev_lon,
+                      {previous.format("CASE WHEN merchant_latitude IS NOT NULL THEN sec END") if "IGNORE" in previous else previous.format("sec")} AS prev_sec
+                    FROM {rows}))"""
+
+
+BEFORE = "lag({}) OVER (PARTITION BY card_id ORDER BY date, id)"
+LAST_KNOWN = "lag({} IGNORE NULLS) OVER (PARTITION BY card_id ORDER BY date, id)"
+
+
+def judged_jumps(spark, sf_dir, settings):
+    rows = placed_transactions(spark, sf_dir).select(
+        "id", "card_id", "date", "merchant_latitude", "merchant_longitude"
+    )
+    return apply_geo_jump_rule(rows, settings=settings).select(
+        "id", "card_id", F.round("_implied_speed_kmh", 3).alias("implied_speed_kmh"), "flag_geo_jump"
+    )
+
+
+@query(with_tables(jumps_sql("placed", LAST_KNOWN), "placed"))
+def rule_geo_jump_last_known(spark, sf_dir):
+    """Rows without a place do not hide the place before them."""
+    return judged_jumps(spark, sf_dir, replace(DEFAULTS, geo_ignore_unknown_places=True))
+
+
+@query(with_tables(jumps_sql("placed", BEFORE, 86_400), "placed"))
+def rule_geo_jump_lookback(spark, sf_dir):
+    """A place is remembered for a day."""
+    return judged_jumps(spark, sf_dir, replace(DEFAULTS, geo_lookback_seconds=86_400))
+
+
 @query("""
     SELECT id, client_id, mean AS trailing_30d_avg_amount,
       mean IS NOT NULL AND amount > 3 * mean AS flag_spending_deviation
