@@ -18,12 +18,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cardwatch.operators.quality import check_schema_drift
+from cardwatch.operators.quality import check_schema_drift, counting
 from cardwatch.sources.paths import exists
 
 BATCH = "_ingest_batch"
 RESCUED = "_rescued_data"
 DAMAGED = "_damaged_line"
+METRICS = "batch bigint, rows bigint, rescued bigint"
 
 
 def ingest_csv_folder(
@@ -59,9 +60,10 @@ def ingest_csv_folder(
         rows = parts[0]
         for part in parts[1:]:
             rows = rows.unionByName(part)
-        rows.withColumn("_ingested_at", F.current_timestamp()).write.mode("overwrite").parquet(
-            f"{target}/{BATCH}={batch_id}"
-        )
+        rows, counts = counting(rows.withColumn("_ingested_at", F.current_timestamp()), stream_name)
+        rows.write.mode("overwrite").parquet(f"{target}/{BATCH}={batch_id}")
+        told = spark.createDataFrame([(counts.rows, counts.rescued)], "rows bigint, rescued bigint")
+        told.coalesce(1).write.mode("overwrite").parquet(f"{state}/metrics/batch={batch_id}")
 
     files = spark.readStream.format("binaryFile").schema(
         "path string, modificationTime timestamp, length bigint, content binary"
@@ -81,14 +83,23 @@ def ingest_csv_folder(
     return read_raw(spark, target, state)
 
 
-def read_raw(spark: SparkSession, target: str, state: str) -> DataFrame:
-    """The raw table under the stored schema. Columns that came later are NULL in earlier rows."""
+def ingest_metrics(spark: SparkSession, state: str) -> DataFrame:
+    """(batch, rows, rescued): what each micro-batch counted while it was written."""
+    if not exists(spark, f"{state}/metrics"):
+        return spark.createDataFrame([], METRICS)
+    return spark.read.schema(METRICS).parquet(f"{state}/metrics")
+
+
+def read_raw(spark: SparkSession, target: str, state: str, after_batch: int | None = None) -> DataFrame:
+    """The raw table under the stored schema. Columns that came later are NULL in earlier rows. With
+    ``after_batch`` only what later micro-batches took in; other folders are not opened."""
     stored = _stored_schema(spark, state)
     if stored is None:
         raise ValueError(f"nothing has been taken in to {target} yet")
     added = [T.StructField(name, T.StringType()) for name in (RESCUED, "_source_file")]
-    schema = T.StructType([*stored.fields, *added, T.StructField("_ingested_at", T.TimestampType())])
-    return spark.read.schema(schema).parquet(target).drop(BATCH)
+    added += [T.StructField(name, T.TimestampType()) for name in ("_source_time", "_ingested_at")]
+    raw = spark.read.schema(T.StructType([*stored.fields, *added, T.StructField(BATCH, T.LongType())])).parquet(target)
+    return (raw if after_batch is None else raw.filter(F.col(BATCH) > after_batch)).drop(BATCH)
 
 
 def _group_by_header(
@@ -168,7 +179,7 @@ def _read_typed(
         .option("header", header)
         .option("columnNameOfCorruptRecord", DAMAGED)
         .csv(list(paths))
-        .withColumn("_source_file", F.col("_metadata.file_path"))
+        .withColumns({"_source_file": F.col("_metadata.file_path"), "_source_time": F.col("_metadata.file_modification_time")})
     )
     present = set(names)
     typed, rescued = [], []
@@ -186,5 +197,5 @@ def _read_typed(
     return raw.select(
         *typed,
         F.when(F.size(kept) > 0, F.to_json(kept)).alias(RESCUED),
-        "_source_file",
+        *("_source_file", "_source_time"),
     )

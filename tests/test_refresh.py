@@ -1,11 +1,14 @@
 """From delivered files to rollups, twice."""
 
 import json
+import os
+import random
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
-from cardwatch.plans.refresh import Lake, refresh_bronze, refresh_dimensions, refresh_facts, refresh_gold, refresh_streaming
+from cardwatch.plans.refresh import Lake, last_delivered, refresh_bronze, refresh_dimensions, refresh_facts, refresh_gold, refresh_streaming
 from cardwatch.sources import schemas
 from cardwatch.streaming import LANDING_SCHEMA
 
@@ -71,3 +74,85 @@ def test_two_days(spark, tmp_path):
     assert {r.income_tier for r in history.read(timestamp=DAY1).collect()} == {"low"}
     assert history.remove_expired(DAY3 + timedelta(days=30)) == [0, 1]
     assert {(r.income_tier, r.is_current) for r in history.read().collect()} == {("low", False), ("high", True)}
+
+
+def reference_files(inbox):
+    (inbox / "reference").mkdir(parents=True)
+    (inbox / "mcc_codes.json").write_text(json.dumps({"5411": "Grocery"}))
+    (inbox / "reference" / "zip_centroids.csv").write_text("zip_code,latitude,longitude\n501,40.7,-74.0\n90001,34.0,-118.2\n")
+    deliver(inbox / "customers", "1.csv", schemas.CUSTOMER_COLUMNS, [customer("c1", "$29,000.00")])
+    deliver(inbox / "cards", "1.csv", schemas.CARD_COLUMNS, [("k1", "c1", "Visa", "Debit", 4344676511950444, "12/2027", 623, "YES", "$24,295", "09/2002", 2008, "No")])
+
+
+def month_files(root, table, month):
+    return {str(f): os.stat(f).st_mtime_ns for f in root.rglob(f"silver/{table}/data/version=*/txn_year=2024/txn_month={month}/*.parquet")}
+
+
+def test_only_touched_months_are_written(spark, tmp_path):
+    """Later deliveries: a late row in March, then rows of May and one without a date."""
+    rng = random.Random(6)
+    stamp = lambda month: f"2024-{month:02d}-{rng.randint(1, 28):02d} {rng.randint(0, 23):02d}:{rng.randint(0, 59):02d}:00"
+
+    def some(n, month, tag):
+        return [
+            (f"{tag}{k}", stamp(month), rng.choice(["c1", "c2"]), rng.choice(["k1", "k2", "k3"]), f"${rng.randint(1, 40) * 100}.00", "Chip Transaction",
+             f"m{rng.randint(1, 3)}", "X", "NY", rng.choice(["501.0", "90001.0", ""]), "5411")
+            for k in range(n)
+        ]
+
+    days = [some(25, 1, "a") + some(25, 2, "b") + some(6, 3, "c") + some(20, 4, "d"), some(3, 3, "late"), some(20, 5, "e"), [txn("none", "", "$5.00", "m1", "501.0")]]
+    inbox = tmp_path / "in"
+    reference_files(inbox)
+    lake = Lake(spark, str(inbox), str(tmp_path / "lake"))
+    columns = ["id", "fraud_flag", "risk_score", "risk_reason", "amount", "merchant_id", "date"]
+    for n, rows in enumerate(days):
+        before = {(t, m): month_files(tmp_path / "lake", t, m) for t in ("transactions", "fraud_risk") for m in range(1, 5)}
+        deliver(inbox / "transactions", f"{n}.csv", schemas.TRANSACTION_COLUMNS, rows)
+        refresh_bronze(lake)
+        if n == 0:
+            refresh_dimensions(lake, DAY1)
+        refresh_facts(lake, DAY1 + timedelta(days=n))
+        anew = {key for key, files in before.items() if month_files(tmp_path / "lake", *key) != files}
+        scored = {("fraud_risk", m) for m in range(1, 5)}
+        assert anew == [
+            {(t, m) for t in ("transactions", "fraud_risk") for m in range(1, 5)},
+            {("transactions", 3), ("fraud_risk", 3), ("fraud_risk", 4)},
+            set(),
+            scored,
+        ][n]
+        assert lake.silver("transactions").count() == sum(map(len, days[: n + 1]))
+        if n not in (1, 3):
+            continue
+        got = sorted(map(repr, lake.silver("fraud_risk").select(*columns).collect()))
+        other = Lake(spark, str(inbox), str(tmp_path / f"whole{n}"))
+        refresh_bronze(other)
+        refresh_dimensions(other, DAY1)
+        refresh_facts(other, DAY1, rebuild=True)
+        assert got == sorted(map(repr, other.silver("fraud_risk").select(*columns).collect()))
+    # Earlier versions stay readable, and removing them keeps what later ones share.
+    risk = lake.fact("fraud_risk")
+    assert [risk.read(version=v).count() for v in range(4)] == [76, 79, 99, 100]
+    refresh_facts(lake, DAY1 + timedelta(days=9))
+    assert risk.history().count() == 4
+    facts = lake.fact("transactions")
+    facts.remove_expired(DAY1 + timedelta(days=60))
+    assert facts.read().count() == 100 and facts.read(version=3).count() == 100
+
+
+def test_several_files_of_one_run(spark, tmp_path):
+    """A backlog with two deliveries: the later file counts, whatever its name."""
+    inbox = tmp_path / "in"
+    reference_files(inbox)
+    deliver(inbox / "customers", "0.csv", schemas.CUSTOMER_COLUMNS, [customer("c1", "$90,000.00"), customer("c2", "$1.00")])
+    os.utime(inbox / "customers" / "1.csv", (1_700_000_000, 1_700_000_000))
+    deliver(inbox / "transactions", "1.csv", schemas.TRANSACTION_COLUMNS, [txn("t1", "2024-01-01 10:00:00", "$10.00", "m1", "501.0")])
+    lake = Lake(spark, str(inbox), str(tmp_path / "lake"))
+    refresh_bronze(lake)
+    refresh_dimensions(lake, DAY1)
+    assert {(r.id, r.income_tier) for r in lake.silver("customers").collect()} == {("c1", "high"), ("c2", "low")}
+    # A NULL key is not lost on the way to the merge.
+    deliver(inbox / "customers", "3.csv", schemas.CUSTOMER_COLUMNS, [customer("", "$90,000.00")])
+    refresh_bronze(lake)
+    assert last_delivered(lake.bronze("customers"), ["id"]).filter("id IS NULL").count() == 1
+    with pytest.raises(Exception, match="NULL merge key"):
+        refresh_dimensions(lake, DAY2)
