@@ -31,6 +31,8 @@ from cardwatch.llm.ftrl import Ftrl, softmax, temperature
 ORDERS = (1, 2, 3)
 #: Hashed n-grams, a power of two.
 BUCKETS = 1 << 15
+#: Steps of the hash by which samples are cut.
+FINE = 1_000_003
 #: The bound of the training sample, in documents.
 SAMPLE = 6000
 EPOCHS = 3
@@ -122,18 +124,22 @@ def inverse_frequencies(docs: DataFrame) -> np.ndarray:
 
 
 def sample(learnable: DataFrame, size: int) -> DataFrame:
-    """An even share of ``size`` documents of each language, picked by a hash of the id: lang, text, turn."""
-    per_language = max(1, size // max(1, learnable.agg(F.count_distinct("lang")).first()[0]))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = (
-        learnable.select("doc_id", "lang")
-        .withColumn("turn", F.row_number().over(order))
-        .filter(F.col("turn") <= per_language)
-        .groupBy("doc_id")
-        .agg(F.min("turn").alias("turn"))
-    )
-    # Not more rows than the bound, so they may be sent to every task.
-    return learnable.join(F.broadcast(picked), "doc_id").select("lang", "text", "turn")
+    """An even share of ``size`` documents of each language, picked by a hash of id and text: lang, text,
+    turn. Rows alike in both count as one.
+
+    A first cut by the hash leaves some times the share of each language, by how many it has; only
+    those are ordered, so no task sees all rows of a language.
+    """
+    learnable = learnable.withColumn("pick", F.xxhash64("doc_id", "text"))
+    counts = learnable.groupBy("lang").agg(F.count_distinct("pick").alias("rows"))
+    counted = counts.agg(F.count(F.lit(1))).first()[0]
+    share = max(1, size // max(1, counted))
+    known = learnable.join(counts, "lang")
+    # Four times the share and some more: that fewer than the share are left is out of the question.
+    near = known.filter(F.pmod("pick", F.lit(FINE)) * F.col("rows") < F.lit(FINE * (4 * share + 100)))
+    once = near.groupBy("lang", "pick").agg(F.first("text").alias("text"))
+    order = Window.partitionBy("lang").orderBy("pick")
+    return once.withColumn("turn", F.row_number().over(order)).filter(F.col("turn") <= share).drop("pick")
 
 
 def trained(learnable: DataFrame, size: int = SAMPLE, epochs: int = EPOCHS) -> LanguageModel:

@@ -8,7 +8,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from cardwatch.llm import decontam, langid, licenses, lmscore, packing, sharding, simhash
+from cardwatch.llm import decontam, langid, licenses, lmscore, neardup, packing, sharding, simhash
 from cardwatch.llm.word_cache import WordTokenizer
 
 WORDS = "the of and licence dog house running tree water apache license cc by mit blue sky".split()
@@ -297,6 +297,15 @@ def test_decontamination(spark, docs, texts):
     assert decontam.decontaminated(docs.filter("false"), bench).count() == 0
 
 
+def test_an_item_of_two_texts_is_one_in_every_block(spark, monkeypatch):
+    texts = [" ".join(f"t{t}w{j}" for j in range(26)) for t in range(2)]
+    items = spark.createDataFrame([(7, texts[0]), (7, texts[1])] + [(k, f"other item {k} of six words") for k in range(20)], "item_id long, text string")
+    more = spark.createDataFrame([(1, f"{texts[0]} and {texts[1]}")], "doc_id long, text string")
+    whole = [tuple(r) for r in decontam.matches(more, items).collect()]
+    monkeypatch.setattr(decontam, "BLOCK_CHARS", 100)
+    assert [tuple(r) for r in decontam.matches(more, items).collect()] == whole and len(whole) == 1
+
+
 def test_benchmark_blocks_change_nothing(spark, docs, monkeypatch):
     items = [(k, " ".join(f"b{k}w{j}" for j in range(20))) for k in range(10)]
     more = docs.select("doc_id", "text").unionByName(spark.createDataFrame(items, "doc_id long, text string"))
@@ -365,6 +374,20 @@ def test_language_is_learned(spark):
     assert got[900]["lang_pred"] == got[901]["lang_pred"] == "und" and got[902]["lang_pred"] == "en"
 
 
+def test_language_is_learned_from_rows_without_id(spark):
+    rows = [(None, text, lang) for _, text, lang in language_rows(200)] * 2
+    frame = spark.createDataFrame(rows + [(1, "the and that with", None)], "doc_id long, text string, lang string")
+    got = langid.identified(frame).filter("doc_id = 1").first()
+    assert got["lang_pred"] == "en"
+
+
+def test_sample_is_bounded_and_even(spark):
+    rows = [(k, f"text {k}", "en") for k in range(5000)] + [(k, f"text {k}", "de") for k in range(40)] + [(1, "same", "fr")] * 3000
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["lang"]: r["count"] for r in langid.sample(frame, 600).groupBy("lang").count().collect()}
+    assert got == {"en": 200, "de": 40, "fr": 1}
+
+
 def test_language_without_anything_to_learn(spark):
     frame = spark.createDataFrame([(1, "text", None)], "doc_id long, text string, lang string")
     assert [(r["lang_pred"], r["score"]) for r in langid.identified(frame).collect()] == [("und", 0.0)]
@@ -419,3 +442,78 @@ def test_cross_entropy_difference_equals_brute_force(spark):
         assert row["score"] == pytest.approx(row["loss_target"] - row["loss_background"], abs=1e-6)
     assert lmscore.scored(frame.filter("false"), labels).collect() == []
     assert lmscore.scored(frame, labels.filter("false")).count() == len(texts)
+
+
+# --- near duplicates of the pipeline -------------------------------------------------------------
+
+
+def shingles(text):
+    words = (text or "").lower().split()
+    return {" ".join(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+
+
+def jaccard(a, b):
+    a, b = shingles(a), shingles(b)
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def edited(rng, words, edits):
+    words = list(words)
+    for _ in range(edits):
+        words[rng.randrange(len(words))] = f"new{rng.randrange(10**6)}"
+    return words
+
+
+@pytest.mark.parametrize("cell", [2048, 3])
+def test_near_duplicates_of_each_group_but_one_go(spark, cell, monkeypatch):
+    """Every pair by brute force: what goes has a partner, and of each group found one row stays."""
+    monkeypatch.setattr(neardup, "CELL", cell)
+    rng = random.Random(14)
+    texts = []
+    for _ in range(40):
+        base = [f"w{rng.randrange(3000)}" for _ in range(rng.randint(60, 220))]
+        texts.append(" ".join(base))
+        for _ in range(rng.randint(0, 3)):
+            texts.append(" ".join(edited(rng, base, rng.randint(1, max(1, len(base) // 50)))))
+    rng.shuffle(texts)
+    rows = [(k, t, "x", 1) for k, t in enumerate(texts)]
+    got = {r["doc_id"] for r in neardup.near_duplicates_removed(spark.createDataFrame(rows, "doc_id long, text string, digest string, goes int").repartition(3)).collect()}
+    parent = list(range(len(texts)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in range(len(texts)):
+        for b in range(a):
+            if jaccard(texts[a], texts[b]) >= 0.8:
+                parent[max(find(a), find(b))] = min(find(a), find(b))
+    wanted = {k for k in range(len(texts)) if find(k) == k}
+    assert wanted <= got and len(got - wanted) <= 0.1 * (len(texts) - len(wanted))
+
+
+def test_near_duplicates_by_row(spark):
+    long = " ".join(f"a{k}" for k in range(100))
+    rows = [
+        (5, long, "p"), (5, "another text of six words", "q"), (None, long, "r"), (None, "nothing else is like this one", "s"),
+        (None, "nothing else is like this one", "t"), (3, long + " end", "u"), (8, None, "v"), (9, "", "w"), (9, " \n", "x"), (7, "one", "y"),
+        (7, "one", "y"), (6, "ONE", "z"),
+    ]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, root string").repartition(2)
+    out = neardup.near_duplicates_removed(frame)
+    assert out.schema == frame.schema
+    got = [(r["doc_id"], r["root"]) for r in out.collect()]
+    assert sorted(got, key=str) == sorted([(3, "u"), (5, "q"), (None, got[[g[0] for g in got].index(None)][1]), (8, "v"), (6, "z")], key=str)
+    assert neardup.near_duplicates_removed(frame.filter("false")).collect() == []
+
+
+def test_similarity_of_sketches():
+    rng = random.Random(3)
+    for size in (1, 4, 30, 200, 2000):
+        words = [f"w{rng.randrange(5000)}" for _ in range(size)]
+        other = edited(rng, words, max(1, size // 60))
+        a, b = (neardup.sketch(" ".join(w)) for w in (words, other))
+        found = neardup.alike(np.array(a[2]), np.array(b[2]))
+        assert abs(found - jaccard(" ".join(words), " ".join(other))) < (1e-9 if size < 250 else 0.12)
+    assert neardup.sketch(None) == neardup.sketch("") == neardup.sketch(" ")
