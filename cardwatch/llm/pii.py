@@ -7,12 +7,17 @@ Feistel network whose round function is SHA-256 under a secret key. So equal val
 pseudonyms in all documents, different values of a kind different ones, and a pseudonym is valid again:
 check digits are made anew, octets stay octets, dates are dates.
 
+*Side by side.* A run of digits with single separators may hold several values, such as a card and its
+expiry date, or two phone numbers. If it is no value in one of the forms in which such numbers are
+written, it is cut into the values of fixed form that it holds, each validated by itself; only if it holds
+none may it be one card number grouped in an unusual way. IBANs have the length of their country.
+
 Two networks do all of it. One permutes pairs of numbers ``(left, right)`` below given bounds: each
 round adds a keyed hash of one to the other. One permutes strings: digits, lower and upper case letters
 of each half are shifted within their own class by a keyed hash of the other half; other characters stay.
 
 What stays: separators; a card's first digit; an IBAN's country and letters; whether a phone number's
-groups start with 0 or 1; an address' domain; dates outside 1900 to 2099; values that fail validation.
+groups start with 0 or 1; an address' domain, which is part of what its local part is shifted by; dates outside 1900 to 2099; values that fail validation.
 
 Edge cases: NULL stays NULL, empty texts stay empty; repeated rows are treated alike; an empty table
 gives no rows; all other columns are kept, whatever their names. ``text`` is replaced where it stands.
@@ -29,19 +34,55 @@ ROUNDS = 8
 #: To be replaced by a secret of one's own.
 DEMO_KEY = "not a secret: pass your own key"
 
-#: Patterns of the kinds, in the order in which they are tried at a place.
+#: Lengths of IBANs by country.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK",
+    21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_NOT_IN_DIGITS = r"(?<![0-9])(?:%s)(?![0-9])"
+#: Groups of digits in which card numbers are written, besides without groups.
+CARD_GROUPS = ((4, 4, 4, 4), (4, 6, 5), (4, 6, 4), (4, 4, 4, 4, 3), (4, 3, 3, 3), (4, 4, 5))
+
+
+def _grouped_cards() -> str:
+    forms = [sign.join(f"[0-9]{{{n}}}" for n in groups) for sign in " -" for groups in CARD_GROUPS]
+    return "|".join(["[0-9]{13,19}", *forms])
+
+
+def _known_ibans() -> str:
+    return "|".join(
+        rf"(?:{'|'.join(countries.split())})[0-9]{{2}}(?: ?[A-Z0-9]){{{length - 4}}}" for length, countries in IBAN_LENGTHS.items()
+    )
+
+
+#: Patterns of the kinds.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "iban": rf"(?<![A-Za-z0-9])(?:{_known_ibans()})(?![A-Za-z0-9])",
     "ip": r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])",
     "date": r"(?<![0-9])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{2}[./][0-9]{2}[./][0-9]{4})(?![0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])",
     "phone": r"(?<![0-9+])(?:\+?1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])",
-    "card": r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
+    "card": _NOT_IN_DIGITS % _grouped_cards(),
 }
-#: A card number may look like a phone number in its first groups, so it is tried before.
+#: The order in which kinds are tried at a place.
 ORDER = ("email", "iban", "ip", "date", "ssn", "card", "phone")
-ANY = "|".join(f"(?:{PATTERNS[kind]})" for kind in ORDER)
+#: What may stand inside a longer stretch.
+FIXED = "|".join(f"(?:{PATTERNS[kind]})" for kind in ORDER if kind != "email")
+#: Thirteen digits or more with separators between, and whatever digits follow, such as an address or date.
+DIGITS = r"(?<![0-9])[0-9](?=(?:[ -]?[0-9]){12})[0-9 -]*(?<=[0-9])(?:[./][0-9][0-9 ./-]*(?<=[0-9]))?"
+UNUSUAL_CARD = "[0-9](?:[ -]?[0-9]){12,18}"
+#: Countries that are not listed: as many groups as there are.
+OTHER_IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
+ANY = "|".join(
+    f"(?:{pattern})"
+    for pattern in (
+        *(PATTERNS["email"], PATTERNS["iban"], OTHER_IBAN, PATTERNS["ip"], PATTERNS["date"], PATTERNS["ssn"]),
+        *(DIGITS, PATTERNS["phone"]),
+    )
+)
 
 #: 1900-01-01 to 2099-12-31, and a pair of bounds whose product is little more.
 FIRST_DAY, DAYS = "1900-01-01", 73049
@@ -62,8 +103,10 @@ def pseudonymized(docs: DataFrame, key: str = DEMO_KEY, column: str = "text") ->
 
 def replaced_kinds(column: str) -> Column:
     """The kinds of the validated values of a text, one entry per value, in the order of the text."""
-    kinds = F.transform(F.regexp_extract_all(F.col(column).cast("string"), F.lit(ANY), F.lit(0)), valid_kind)
-    return F.when(_has_any(F.col(column).cast("string")), F.array_compact(kinds)).otherwise(F.array().cast("array<string>"))
+    text = F.col(column).cast("string")
+    candidates = F.flatten(F.transform(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), lambda match: _candidates(match)))
+    kinds = F.transform(candidates, lambda value: valid_kind(value))
+    return F.when(_has_any(text), F.array_compact(kinds)).otherwise(F.array().cast("array<string>"))
 
 
 def _has_any(text: Column) -> Column:
@@ -71,24 +114,50 @@ def _has_any(text: Column) -> Column:
     return text.rlike("[0-9@]") & text.rlike(ANY)
 
 
-def _parts(text: Column) -> tuple[Column, Column]:
+def _parts(text: Column, pattern: str = ANY) -> tuple[Column, Column]:
     """The text around the matches, and the matches: one fewer."""
-    return F.split(text, ANY, -1), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
+    return F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
 
 def _joined(around: Column, replaced: Column) -> Column:
     return F.concat(around, F.coalesce(replaced, F.lit("")))
 
 
-def valid_kind(value: Column) -> Column:
+def _in_form(value: Column) -> Column:
+    """Whether the whole value is of a kind in one of its fixed forms."""
+    forms = "|".join(f"(?:{pattern})" for pattern in (PATTERNS["email"], FIXED, OTHER_IBAN))
+    return valid_kind(value, unusual=False).isNotNull() & value.rlike(f"^(?:{forms})$")
+
+
+def _candidates(value: Column) -> Column:
+    """A match itself, or what it holds where it is no value as a whole."""
+    inside = F.regexp_extract_all(value, F.lit(FIXED), F.lit(0))
+    holds = ~_in_form(value) & F.exists(inside, lambda match: valid_kind(match).isNotNull())
+    return F.when(holds, inside).otherwise(F.array(value))
+
+
+def valid_kind(value: Column, unusual: bool = True) -> Column:
     """The first kind whose pattern the whole value has and whose rules it meets; NULL if none."""
+    more = {"iban": OTHER_IBAN} | ({"card": UNUSUAL_CARD} if unusual else {})
     kind = F.lit(None).cast("string")
     for name in reversed(ORDER):
-        kind = F.when(value.rlike(f"^(?:{PATTERNS[name]})$") & VALID[name](value), F.lit(name)).otherwise(kind)
+        pattern = "|".join(filter(None, [PATTERNS[name], more.get(name)]))
+        kind = F.when(value.rlike(f"^(?:{pattern})$") & VALID[name](value), F.lit(name)).otherwise(kind)
     return kind
 
 
 def _replaced(value: Column, key: str) -> Column:
+    """A match with the values it holds replaced."""
+
+    def in_parts(candidates: Column) -> Column:
+        around = F.when(candidates[0] == value, F.array(F.lit(""), F.lit(""))).otherwise(F.split(value, FIXED, -1))
+        return F.array_join(F.zip_with(around, F.transform(candidates, lambda c: _permuted(c, key)), _joined), "")
+
+    # Bound once, so that a match is looked into once.
+    return F.transform(F.array(_candidates(value)), in_parts)[0]
+
+
+def _permuted(value: Column, key: str) -> Column:
     def by_kind(kind: Column) -> Column:
         new = value
         for name in ORDER:
@@ -170,7 +239,7 @@ VALID: dict[str, Callable[[Column], Column]] = {
     "date": lambda value: _same_separators(value) & F.coalesce(_ordinal(value).between(0, DAYS - 1), F.lit(False)),
     "ssn": lambda value: ~value.rlike("^(000|666|9)|-00-|-0000$"),
     "card": lambda value: luhn_sum(_digits(value)) % 10 == 0,
-    "phone": lambda value: F.lit(True),
+    "phone": lambda value: ~F.substring(_digits(value), -10, 10).rlike("^000|^(.)\\1*$"),
 }
 
 
@@ -197,8 +266,9 @@ def _pair(left: Column, right: Column, below: tuple[Column | int, Column | int],
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, turn)
 
 
-def _string(value: Column, kind: str, key: str) -> Column:
-    """The string with its halves shifted in turn, each character within its own class.
+def _string(value: Column, kind: str, key: str, *also: Column) -> Column:
+    """The string with its halves shifted in turn, each character within its own class. ``also`` is hashed
+    with the other half.
 
     The halves are of the characters that can be shifted, so separators change nothing.
     """
@@ -210,16 +280,18 @@ def _string(value: Column, kind: str, key: str) -> Column:
             digit = character.rlike("[0-9]")
             base = F.when(digit, 48).when(character.rlike("[a-z]"), 97).when(character.rlike("[A-Z]"), 65)
             radix = F.when(digit, 10).otherwise(26)
-            by = _keyed(key, f"{kind} {side}", number.cast("string"), size, place, other)
+            by = _keyed(key, f"{kind} {side}", number.cast("string"), size, place, other, *also)
             moved = (F.ascii(character) - base + by % radix) % radix + base
             return F.coalesce(F.char(moved), character)
 
         return F.array_join(F.transform(_characters(own), shift), "")
 
     def turn(state: Column, number: Column) -> Column:
-        first = shifted(state["left"], state["right"], number, "left")
-        second = shifted(state["right"], first, number, "right")
-        return F.struct(first.alias("left"), second.alias("right"))
+        def both(first: Column) -> Column:
+            return F.struct(first.alias("left"), shifted(state["right"], first, number, "right").alias("right"))
+
+        # Bound, so that the right half does not make the left one anew for each of its characters.
+        return F.transform(F.array(shifted(state["left"], state["right"], number, "left")), both)[0]
 
     start = F.struct(
         F.substring(value, F.lit(1), middle).alias("left"), F.substring(value, middle + 1, size).alias("right")
@@ -232,15 +304,20 @@ def _string(value: Column, kind: str, key: str) -> Column:
 def _refilled(form: Column, characters: Column, pattern: str) -> Column:
     """``form`` with its characters of the pattern replaced, one after the other, by those of a string."""
 
-    def fill(state: Column, character: Column) -> Column:
-        takes = character.rlike(pattern)
-        new = F.when(takes, F.substring(characters, state["next"], F.lit(1))).otherwise(character)
-        return F.struct(
-            F.concat(state["text"], new).alias("text"), (state["next"] + takes.cast("int")).alias("next")
-        )
-
     start = F.struct(F.lit("").alias("text"), F.lit(1).alias("next"))
-    return F.aggregate(_characters(form), start, fill, lambda state: state["text"])
+
+    def filled(given: Column) -> Column:
+        def fill(state: Column, character: Column) -> Column:
+            takes = character.rlike(pattern)
+            new = F.when(takes, F.substring(given, state["next"], F.lit(1))).otherwise(character)
+            return F.struct(
+                F.concat(state["text"], new).alias("text"), (state["next"] + takes.cast("int")).alias("next")
+            )
+
+        return F.aggregate(_characters(form), start, fill, lambda state: state["text"])
+
+    # Bound, so that the characters are made once and not for each place.
+    return F.transform(F.array(characters), filled)[0]
 
 
 def _padded(number: Column, size: int) -> Column:
@@ -252,17 +329,21 @@ def _email(value: Column, key: str) -> Column:
     signs = "[A-Za-z0-9]"
     plain = F.regexp_replace(local, "[^A-Za-z0-9]", "")
     # The domain is part of the value, so one local part has another pseudonym elsewhere.
-    return F.concat(_refilled(local, _string(plain, "email", key), signs), F.lit("@"), domain)
+    return F.concat(_refilled(local, _string(plain, "email", key, F.lower(domain)), signs), F.lit("@"), domain)
 
 
 def _iban(value: Column, key: str) -> Column:
     plain = F.regexp_replace(value, " ", "")
     account = F.substring(plain, 5, 40)
     numbers = _string(_digits(account), "iban", key)
-    new = _refilled(account, numbers, "[0-9]")
     country = F.substring(plain, 1, 2)
-    check = _padded(F.lit(98) - _mod97(F.concat(country, F.lit("00"), new)), 2)
-    return _refilled(value, F.concat(country, check, new), "[A-Z0-9]")
+
+    def checked(new: Column) -> Column:
+        check = _padded(F.lit(98) - _mod97(F.concat(country, F.lit("00"), new)), 2)
+        return F.concat(country, check, new)
+
+    whole = F.transform(F.array(_refilled(account, numbers, "[0-9]")), checked)[0]
+    return _refilled(value, whole, "[A-Z0-9]")
 
 
 def _ip(value: Column, key: str) -> Column:
@@ -349,8 +430,9 @@ def _phone(value: Column, key: str) -> Column:
     digits = _digits(value)
     ten = F.substring(digits, -10, 10)
     area, exchange = F.substring(ten, 1, 3).cast("long"), F.substring(ten, 4, 3).cast("long")
-    low = [F.when(part >= 200, 200).otherwise(0).cast("long") for part in (area, exchange)]
-    room = [F.when(part >= 200, 800).otherwise(200).cast("long") for part in (area, exchange)]
+    # No area is 000.
+    low = [F.when(part >= 200, 200).otherwise(least).cast("long") for part, least in ((area, 1), (exchange, 0))]
+    room = [F.when(part >= 200, 800).otherwise(200 - least).cast("long") for part, least in ((area, 1), (exchange, 0))]
     line = F.substring(ten, 7, 4).cast("long")
     new = _pair(area - low[0], (exchange - low[1]) * 10000 + line, (room[0], room[1] * 10000), "phone", key)
 

@@ -134,14 +134,14 @@ def plain_pair(left: int, right: int, a: int, b: int, kind: str) -> tuple[int, i
     return left, right
 
 
-def plain_string(value: str, kind: str) -> str:
+def plain_string(value: str, kind: str, *also: str) -> str:
     left, right = value[: len(value) // 2], value[len(value) // 2 :]
 
     def shifted(own: str, other: str, turn: int, side: str) -> str:
         out = []
         for place, c in enumerate(own):
             base, radix = (48, 10) if c.isdigit() else (97, 26) if c.islower() else (65, 26)
-            by = keyed(f"{kind} {side}", turn, len(value), place, other)
+            by = keyed(f"{kind} {side}", turn, len(value), place, other, *also)
             out.append(chr((ord(c) - base + by % radix) % radix + base))
         return "".join(out)
 
@@ -233,7 +233,7 @@ def test_mail_iban_and_text_around(spark):
     ]
     new = pseudonyms(spark, texts)
     local = re.fullmatch(r"write to ([A-Z][a-z]{2}\.[A-Z][a-z]{2}\+[a-z])@mail\.example\.com, or ([a-z]{3}\.[a-z]{3})@example\.com\.", new[0])
-    assert local and local[1].replace(".", "").replace("+", "") == plain_string("AnnLeex", "email")
+    assert local and local[1].replace(".", "").replace("+", "") == plain_string("AnnLeex", "email", "mail.example.com")
     spaced, plain = new[1].split(" / ")
     assert spaced.replace(" ", "") == plain != "DE89370400440532013000"
     assert int(plain[4:] + "1314" + plain[2:4]) % 97 == 1
@@ -241,6 +241,59 @@ def test_mail_iban_and_text_around(spark):
     assert new[5].startswith("é" * 70_000) and not new[5].endswith(" 10.0.0.1")
 
 
+CARD, PHONE, OTHER_PHONE, IBAN = "4111 1111 1111 1111", "555-123-4567", "555-123-4568", "ES91 2100 0418 4502 0005 1332"
+
+
+def test_values_beside_other_digits(spark):
+    alone = dict(zip([CARD, PHONE, OTHER_PHONE, IBAN], pseudonyms(spark, [CARD, PHONE, OTHER_PHONE, IBAN]), strict=True))
+    plain_card, day = CARD.replace(" ", ""), "2024-01-15"
+    alone[plain_card], alone[day] = pseudonyms(spark, [plain_card, day])
+    assert all(new != old for old, new in alone.items())
+    texts = [
+        f"{CARD} 05/27", f"item 12 {plain_card}", f"{plain_card} 123", f"{PHONE} {OTHER_PHONE}", f"{PHONE} {day}", f"{IBAN} CALL me",
+        f"7 {CARD} 05/27 123", f"{CARD}-{CARD}", f"{CARD}  {plain_card}", f"2021 2022 2023 2024 {CARD}", f"x{CARD}y {IBAN}5",
+    ]
+    for text, new in zip(texts[:-1], pseudonyms(spark, texts[:-1]), strict=True):
+        want = text
+        for old in (CARD, plain_card, PHONE, OTHER_PHONE, IBAN, day):
+            want = want.replace(old, f"<{old}>")
+        for old in alone:
+            want = want.replace(f"<{old}>", alone[old])
+        assert new == want, text
+    # An IBAN with a character too many is none; letters end a card number.
+    assert pseudonyms(spark, texts[-1:])[0] == f"x{alone[CARD]}y {IBAN}5"
+
+
+def test_every_kind_beside_every_other(spark):
+    kinds = {"card": CARD, "phone": PHONE, "iban": IBAN, "ip": "10.20.30.40", "date": "2024-01-15", "ssn": "123-45-6789",
+             "email": "bob@x.org", "plain": CARD.replace(" ", ""), "amex": "3782 822463 10005", "german": "15.01.2024"}
+    alone = dict(zip(kinds, pseudonyms(spark, list(kinds.values())), strict=True))
+    pairs = [(a, b, sign) for a in kinds for b in kinds for sign in (" ", ", ", "; ", "\n", " / ")]
+    new = pseudonyms(spark, [f"{kinds[a]}{sign}{kinds[b]}" for a, b, sign in pairs])
+    wrong = [(pair, made) for pair, made in zip(pairs, new, strict=True) if made != f"{alone[pair[0]]}{pair[2]}{alone[pair[1]]}"]
+    assert not wrong
+
+
+def test_mail_of_one_name_at_two_domains(spark):
+    one, other, again = pseudonyms(spark, ["robert@x.org", "robert@y.org", "robert@X.org"])
+    assert one.split("@")[0] != other.split("@")[0] and again.split("@")[0] == one.split("@")[0]
+
+
+def test_phones_that_are_none_stay(spark):
+    kept = ["000-000-0000", "000-123-4567", "(555) 555-5555", "5555555555555555"]
+    assert pseudonyms(spark, kept) == kept
+
+
+def test_long_runs_of_digits_take_linear_time(spark):
+    import time
+
+    start = time.time()
+    texts = ["1 2 3 4 5 6 7 8 9 " * 8_000, "12-" * 40_000, f"{PHONE} " * 3_000, "1" * 120_000]
+    new = pseudonyms(spark, texts)
+    assert new[2] == pseudonyms(spark, [PHONE])[0].join(["", " "]) * 3_000
+    assert new[3] == texts[3] and time.time() - start < 120
+
+
 def test_pseudonyms_keep_other_columns(spark):
     frame = spark.createDataFrame([(1, "10.0.0.1", "k", None)], "doc_id long, text string, kinds string, left long")
     new = pii.pseudonymized(frame)
