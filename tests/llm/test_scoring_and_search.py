@@ -315,7 +315,7 @@ def test_top_k_equals_brute_force(spark):
         rows.append((k - 40 if k % 80 == 40 else k, v, "x"))
     rows += [(None, [9.0] * 5, "x"), rows[20]]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, shard string")
-    got = topk.top_k(topk.quantized(frame), F.col("vec_id") % 20 == 0, shard_rows=37, block_queries=5)
+    got = topk.top_k(topk.quantized(frame), F.col("vec_id") % 20 == 0, shard_rows=37, leaves=4)
     top = 2**63 - 1
     whole = [
         (i, [max(-(2**63), min(top, math.floor(64 * x))) for x in v])
@@ -337,6 +337,35 @@ def test_top_k_equals_brute_force(spark):
     assert topk.top_k(topk.quantized(frame.filter("false")), F.col("vec_id") == 0).collect() == []
 
 
+def test_search_leaves_shards_out_before_the_shuffle():
+    """Of clustered vectors, a query asks the shards of few leaves; and of any, never too few."""
+    rng = np.random.default_rng(5)
+    centres = rng.integers(-900, 900, (16, 6))
+    points = np.concatenate([c + rng.integers(-9, 9, (100, 6)) for c in centres])
+    space = topk.Space(points.astype(float), 16)
+    leaf = space.leaf_of(points.astype(float))
+    assert 8 <= len(set(leaf.tolist())) <= 16
+    rows = []
+    for number in set(leaf.tolist()):
+        own = points[leaf == number]
+        rows += [(number, -1, 0, 0, len(own))] + [(number, k, int(own[:, k].min()), int(own[:, k].max()), len(own)) for k in range(6)]
+    boxes = topk.Boxes(rows, 50)
+    kept = 0
+    for query in points[::40]:
+        scores = points @ query
+        kth = np.sort(scores)[-20]
+        near = set(boxes.leaf[boxes.most(query) >= kth].tolist())
+        assert set(leaf[scores >= kth].tolist()) <= near
+        kept += len(near)
+    assert kept < 0.5 * len(points[::40]) * len(boxes.leaf)
+
+
+def test_leaves_of_odd_samples():
+    for points in (np.zeros((0, 0)), np.zeros((5, 0)), np.ones((50, 3))):
+        assert topk.Space(points, 8).leaves == 1
+        assert topk.Space(points, 8).leaf_of(np.ones((4, 2))).tolist() == [0] * 4
+
+
 def test_search_leaves_nodes_out():
     rng = np.random.default_rng(1)
     centres = rng.integers(-900, 900, (8, 4))
