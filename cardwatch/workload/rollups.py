@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from cardwatch.functions import with_risk_columns
 from cardwatch.operators.rules import apply_card_rules, score_all_rules
 from cardwatch.plans import gold, silver
+from cardwatch.session import fresh_folder
 from cardwatch.streaming import with_simple_flags
 from cardwatch.workload.bindings import (
     LOADED_AT,
@@ -25,7 +26,10 @@ from cardwatch.workload.registry import query
 
 
 def legs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    rows = placed_transactions(spark, sf_dir)
+    """From a written table, as the refresh does it: the rules read their rows more than once."""
+    path = fresh_folder(spark, "placed")
+    placed_transactions(spark, sf_dir).write.parquet(path)
+    rows = spark.read.parquet(path)
     online = F.coalesce(F.col("channel") == "online", F.lit(False))
     return rows.filter(~online), rows.filter(online)
 
