@@ -131,12 +131,12 @@ def sample(learnable: DataFrame, size: int) -> DataFrame:
     those are ordered, so no task sees all rows of a language.
     """
     learnable = learnable.withColumn("pick", F.xxhash64("doc_id", "text"))
-    counts = learnable.groupBy("lang").agg(F.count_distinct("pick").alias("rows"))
-    counted = counts.agg(F.count(F.lit(1))).first()[0]
-    share = max(1, size // max(1, counted))
-    known = learnable.join(counts, "lang")
+    # A row for each class of the model, whose weights the driver holds as well.
+    counts = learnable.groupBy("lang").agg(F.count_distinct("pick").alias("n")).collect()
+    share = max(1, size // max(1, len(counts)))
     # Four times the share and some more: that fewer than the share are left is out of the question.
-    near = known.filter(F.pmod("pick", F.lit(FINE)) * F.col("rows") < F.lit(FINE * (4 * share + 100)))
+    below = [F.lit(x) for row in counts for x in (row["lang"], FINE * (4 * share + 100) // row["n"])]
+    near = learnable.filter(F.pmod("pick", F.lit(FINE)) < F.create_map(*below)[F.col("lang")]) if counts else learnable
     once = near.groupBy("lang", "pick").agg(F.first("text").alias("text"))
     order = Window.partitionBy("lang").orderBy("pick")
     return once.withColumn("turn", F.row_number().over(order)).filter(F.col("turn") <= share).drop("pick")
