@@ -56,7 +56,12 @@ def fresh_folder(spark: SparkSession, name: str) -> str:
 def remove_working_folders(spark: SparkSession) -> None:
     """Delete what this application wrote below the shared folder. For the end of a run: frames that
     were made of these files can no longer be read."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(_application_folder(spark))
+    remove_folder(spark, _application_folder(spark))
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder and all that is in it, in whatever store it is."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cardwatch.session import remove_folder
 from cardwatch.sources.snapshots import SnapshotTable
 
 YEAR, MONTH = "txn_year", "txn_month"
@@ -75,13 +76,9 @@ class MonthTable(SnapshotTable):
             own = {name for row in self.history().filter(F.col("version") == version).collect() for name in row.note.split("|")[1].split()}
             for name in own:
                 if (version, name) not in needed:
-                    self._delete(f"{self._data(version)}/{name}")
+                    remove_folder(self.spark, f"{self._data(version)}/{name}")
         return sorted(expired)
 
-    def _delete(self, folder: str) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-
     def _own(self, version: int) -> str:
         return f"{self.root}/manifest"
 
