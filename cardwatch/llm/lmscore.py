@@ -1,138 +1,187 @@
 """Language-model scoring by cross-entropy difference.
 
-Two n-gram models over one vocabulary, of the same order and smoothing, are counted: one over the
-target documents, those labelled as good, and one over all documents. A document's score is its loss
-per token under the target model minus its loss per token under the background model: the lower, the
-more it reads like the target.
-
-Tokens are characters mapped to 32 symbols: letters without case and accents, digits, white space, line
-ends and three kinds of signs. With that vocabulary a model of order four has ``32 ** 4`` numbers
-whatever the corpus, so it may be sent to every task, and no n-gram is left out, capped or hashed. The
-counts cover every document: each task sums its own n-grams before the shuffle. Only the target's texts
-are joined with the labels, by doc_id.
-
-Smoothing: each order is interpolated with the next lower one, down to the uniform distribution, with
-the weight of ``PRIOR`` observations.
-
-Edge cases: a NULL text is an empty text; an empty text has no tokens and a score of 0; without any
-target document its model is uniform; several of one doc_id count as good if any is; NULL labels and ids are none; repeated rows are counted and
-scored each; an empty table gives no rows; other columns are ignored.
+Two bigram models over the corpus' own words, of the same smoothing, are counted: one over the target
+documents, those labelled as good, and one over all documents. A document's score is its loss per token
+under the target model minus its loss per token under the background model: the lower, the more it reads
+like the target.
+
+Tokens are lower-cased words, signs, the single characters of scripts that set no spaces, and a
+boundary before and behind each text, of which the second is predicted too. Every word and pair of words
+that occurs is counted, over every document; nothing is left out or capped, so the models grow with the
+corpus and no task and no driver holds one.
+
+* Documents are dealt at random into blocks of bounded size, so neither an id, a source nor a group of
+  copies makes a block large. A block counts its n-grams once, whatever number of documents they stand in.
+* Counts meet by n-gram. An n-gram that is in one block only is not sent back, as the block knows its
+  count already; the others return to the blocks that hold them.
+* A block scores its documents with these counts. Only ids are joined with the labels, not texts.
+
+N-grams are known by 64 bits of a hash; two that share one would share their counts.
+
+Smoothing: pairs are interpolated with words, and words with a model of spelling that gives each
+character the chance ``1 / ALPHABET``; both models share it, so no word is outside the vocabulary. The
+weight of the lower order is ``PRIOR`` observations.
+
+Edge cases: a NULL text is an empty text; a text without tokens is not counted and has losses and a
+score of 0; without any target document its model is the spelling model; several of one doc_id count as
+good if any is; NULL labels and ids are none; repeated rows are counted and scored each; a single very
+long text is a block of its own; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import unicodedata
+import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cardwatch.llm.common import rows_of
 
-ORDER = 4
-SYMBOLS = 32
-SPACE, DIGIT, LINE, STOP, SIGN, OTHER = 0, 27, 28, 29, 30, 31
 PRIOR = 20.0
-#: Characters counted or scored together, which bounds the memory for very long texts.
+ALPHABET = 64.0
+#: Characters beyond this number add nothing more to what a word costs in the spelling model.
+LONGEST = 100
+#: Characters and rows of a block, about.
+BLOCK_CHARS, BLOCK_ROWS = 8 << 20, 50_000
+#: Characters cut into tokens at once, which bounds the memory for very long texts.
 CHUNK = 1 << 20
 
+#: Thai to Tibetan, Burmese, Khmer, and the Chinese and Japanese scripts.
+UNSPACED = "฀-࿿က-႟ក-៿぀-ヿ㐀-鿿豈-﫿\U00020000-\U0003ffff"
+TOKEN = re.compile(rf"[{UNSPACED}]|[^\W{UNSPACED}]+|[^\w\s]")
+BETWEEN = re.compile(rf"[\W{UNSPACED}]")
 
-def symbol(char: str) -> int:
-    if char == "\n":
-        return LINE
-    if char.isspace():
-        return SPACE
-    if char.isdigit():
-        return DIGIT
-    if char.isalpha():
-        base = unicodedata.normalize("NFD", char)[0].lower()
-        return ord(base) - 96 if "a" <= base <= "z" else OTHER
-    return STOP if char in ".,;:!?" else SIGN
+#: Numbers that stand for the boundary and for the count of all tokens.
+BOUNDARY, TOTAL = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03
+GRAMS = "block long, gram long, n long, n_good long"
 
 
-def _table() -> np.ndarray:
-    """Symbols of the characters of the basic plane; those beyond are other letters."""
-    table = np.array([symbol(chr(code)) if not 0xD800 <= code < 0xE000 else OTHER for code in range(0x10000)], np.int64)
-    return np.append(table, OTHER)
+def tokens(text: str):
+    """The tokens of a text, a list for each stretch; no token is cut."""
+    start = 0
+    while start < len(text):
+        stop = BETWEEN.search(text, start + CHUNK)
+        stop = stop.start() if stop else len(text)
+        yield TOKEN.findall(text[start:stop].lower())
+        start = stop
 
 
-_SYMBOL: list[np.ndarray] = []
+class Block:
+    """The tokens of some documents as pairs of local word numbers, and the n-grams they make.
 
+    ``grams`` has the total first, then the words, then the pairs.
+    """
 
-def ngrams(text: str):
-    """The n-grams that end at each character, as numbers, a stretch at a time; the text starts after spaces."""
-    if not _SYMBOL:
-        _SYMBOL.append(_table())
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
-    before = np.zeros(ORDER - 1, np.int64)
-    for start in range(0, len(codes), CHUNK):
-        part = np.concatenate([before, _SYMBOL[0][np.minimum(codes[start : start + CHUNK], 0x10000)]])
-        before = part[-(ORDER - 1) :]
-        n = len(part) - ORDER + 1
-        yield sum(part[k : k + n] << 5 * (ORDER - 1 - k) for k in range(ORDER))
-
-
-def counts(docs: DataFrame) -> np.ndarray:
-    """How often each n-gram stands in the given texts."""
-
-    def count(batches):
-        total = np.zeros(SYMBOLS**ORDER, np.int64)
+    def __init__(self, batches):
+        number, lengths, before, after = {"": 0}, [], [], []
         for rows in rows_of(batches, "text"):
             for (text,) in rows:
-                for found in ngrams(text or ""):
-                    np.add.at(total, found, 1)
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], names=["k", "n"])
-
-    counted = docs.select(F.col("text").cast("string")).mapInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
-    total = np.zeros(SYMBOLS**ORDER)
-    frame = counted.toPandas()
-    total[frame["k"].to_numpy(np.int64)] = frame["n"].to_numpy(np.int64)
-    return total
+                found = [
+                    np.fromiter((number.setdefault(word, len(number)) for word in words), np.int64, len(words))
+                    for words in tokens(text or "")
+                ]
+                n = sum(map(len, found))
+                lengths.append(n + 1 if n else 0)
+                if n:
+                    before += [[0], *found]
+                    after += [*found, [0]]
+        empty = [np.zeros(0, np.int64)]
+        self.before, self.after = (np.concatenate(empty + part).astype(np.int64) for part in (before, after))
+        self.lengths = np.array(lengths, np.int64)
+        self.doc = np.repeat(np.arange(len(lengths)), self.lengths)
+        words = list(number)
+        self.width = np.array([min(len(word), LONGEST) for word in words])
+        hashes = [BOUNDARY, *(xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words[1:])]
+        hashes = np.array(hashes, np.uint64)
+        pairs, self.pair = np.unique(self.before * len(words) + self.after, return_inverse=True)
+        self.first, self.second = pairs // len(words), pairs % len(words)
+        mixed = (hashes[self.first] * np.uint64(0xBF58476D1CE4E5B9)) ^ (hashes[self.second] + np.uint64(TOTAL))
+        mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+        self.grams = np.concatenate([np.array([TOTAL], np.uint64), hashes, mixed ^ (mixed >> np.uint64(29))]).view(np.int64)
+
+    def counts(self, good: np.ndarray | None = None) -> np.ndarray:
+        """How often each n-gram stands in the documents, or in the good ones."""
+        weights = None if good is None else good[self.doc].astype(np.float64)
+        total = len(self.doc) if weights is None else weights.sum()
+        words = np.bincount(self.after, weights, len(self.width))
+        pairs = np.bincount(self.pair, weights, len(self.first))
+        return np.concatenate([[total], words, pairs]).astype(np.int64)
+
+    def losses(self, counts: np.ndarray) -> np.ndarray:
+        """The negative log-likelihood of each document."""
+        words, pairs = counts[1 : 1 + len(self.width)], counts[1 + len(self.width) :]
+        chance = (words + PRIOR * ALPHABET ** -(self.width + 1.0)) / (counts[0] + PRIOR)
+        chance = (pairs + PRIOR * chance[self.second]) / (words[self.first] + PRIOR)
+        return np.bincount(self.doc, -np.log(chance)[self.pair], len(self.lengths))
+
+
+def good_rows(docs: pa.Table, ids: pa.ChunkedArray) -> np.ndarray:
+    return pc.is_in(docs["doc_id"], value_set=pc.drop_null(ids.combine_chunks())).to_numpy(zero_copy_only=False)
+
+
+def count_block(docs: pa.Table, good: pa.Table) -> pa.Table:
+    block = Block(docs.to_batches())
+    number = np.full(len(block.grams), docs["block"][0].as_py())
+    columns = [number, block.grams, block.counts(), block.counts(good_rows(docs, good["good"]))]
+    return pa.table(dict(zip(("block", "gram", "n", "n_good"), columns, strict=True)))
+
+
+def score_block(docs: pa.Table, found: pa.Table) -> pa.Table:
+    """``found`` has the block's good ids, with ``n`` NULL, and counts over all blocks of its n-grams; those
+    it lacks are in this block only."""
+    block = Block(docs.to_batches())
+    counted = found["n"].is_valid()
+    flags = good_rows(docs, found.filter(pc.invert(counted))["gram"])
+    found = found.filter(counted)
+    background, target = block.counts(), block.counts(flags)
+    grams = found["gram"].to_numpy()
+    order = np.argsort(grams)
+    place = np.minimum(np.searchsorted(grams, block.grams, sorter=order), max(len(grams) - 1, 0))
+    if len(grams):
+        place = order[place]
+        known = grams[place] == block.grams
+        background[known] = found["n"].to_numpy()[place[known]]
+        target[known] = found["n_good"].to_numpy()[place[known]]
+    n = np.maximum(block.lengths, 1)
+    losses = block.losses(target), block.losses(background)
+    return pa.table(
+        {
+            "doc_id": docs["doc_id"],
+            "tokens": block.lengths,
+            "loss_target": losses[0] / n,
+            "loss_background": losses[1] / n,
+            "score": (losses[0] - losses[1]) / n,
+        }
+    )
 
 
-def losses(total: np.ndarray) -> np.ndarray:
-    """Negative log-likelihood of the last symbol of each n-gram given those before it.
+def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, tokens, loss_target, loss_background and score (per token) of every row.
 
-    Orders are smoothed from the lowest up, the lowest with the uniform distribution.
+    ``docs`` is read more than once and must come in the same order each time, as a table does; write the
+    result of a shuffle first.
     """
-    lower = np.full(SYMBOLS, 1.0 / SYMBOLS)
-    for order in range(1, ORDER + 1):
-        own = total.reshape(-1, *[SYMBOLS] * order).sum(0)
-        lower = (own + PRIOR * lower) / (own.sum(-1, keepdims=True) + PRIOR)
-    return -np.log(lower).reshape(-1)
-
-
-def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, tokens, loss_target, loss_background and score (per token) of every row."""
-    good = (
-        labels.filter("doc_id IS NOT NULL AND quality > 0")
-        .select(F.col("doc_id").cast("long"))
-        .distinct()
-    )
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    # The same join at every size; only ids are built into a table, and texts need no sort.
-    target = texts.join(good.hint("shuffle_hash"), "doc_id", "left_semi")
-    model = np.stack([losses(counts(target)), losses(counts(texts))]).astype(np.float32)
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-
-    def score(batches):
-        target, background = sent.value
-        for rows in rows_of(batches, "doc_id", "text"):
-            out = []
-            for doc_id, text in rows:
-                tokens, sums = len(text or ""), np.zeros(2)
-                for found in ngrams(text or ""):
-                    sums += target[found].sum(dtype=np.float64), background[found].sum(dtype=np.float64)
-                out.append((doc_id, tokens, *(sums / max(tokens, 1)), (sums[0] - sums[1]) / max(tokens, 1)))
-            columns = list(zip(*out, strict=True)) if out else [[]] * 5
-            kinds = [pa.int64(), pa.int64(), *[pa.float64()] * 3]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
-                names=["doc_id", "tokens", "loss_target", "loss_background", "score"],
-            )
-
-    return texts.mapInArrow(
-        score, "doc_id long, tokens long, loss_target double, loss_background double, score double"
+    size = texts.agg(F.sum(F.length("text")).alias("chars"), F.count(F.lit(1)).alias("rows")).first()
+    blocks = 1 + (size["chars"] or 0) // BLOCK_CHARS + size["rows"] // BLOCK_ROWS
+    dealt = texts.withColumn("block", F.floor(F.rand(5) * blocks).cast("long"))
+    good = labels.filter("doc_id IS NOT NULL AND quality > 0").select(F.col("doc_id").cast("long").alias("good")).distinct()
+    ids = dealt.select(F.col("block").alias("place"), F.col("doc_id").alias("good")).distinct()
+    good = ids.join(good, "good", "left_semi").select("place", "good")
+    by_block = dealt.groupBy("block")
+    counted = by_block.cogroup(good.groupBy("place")).applyInArrow(count_block, GRAMS)
+    everywhere = Window.partitionBy("gram")
+    shared = counted.select(
+        "block",
+        "gram",
+        *(F.sum(name).over(everywhere).alias(name) for name in ("n", "n_good")),
+        F.count(F.lit(1)).over(everywhere).alias("spread"),
+    ).filter("spread > 1")
+    known = shared.drop("spread").union(good.selectExpr("place", "good", "CAST(NULL AS long)", "CAST(NULL AS long)"))
+    return by_block.cogroup(known.groupBy("block")).applyInArrow(
+        score_block, "doc_id long, tokens long, loss_target double, loss_background double, score double"
     )

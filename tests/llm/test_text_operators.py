@@ -1,6 +1,7 @@
 """Operators on texts against brute force, with the cases that real tables bring along."""
 
 import random
+import re
 import zlib
 
 import numpy as np
@@ -396,11 +397,12 @@ def test_language_without_anything_to_learn(spark):
 
 def test_ngram_counts_do_not_depend_on_the_chunk(monkeypatch):
     text = "Grüße aus dem Süden, 中文 🙂 " * 40
-    whole = langid.ngram_counts(text), np.concatenate(list(lmscore.ngrams(text)))
+    whole = langid.ngram_counts(text), sum(lmscore.tokens(text), [])
     monkeypatch.setattr(langid, "CHUNK", 7)
     monkeypatch.setattr(lmscore, "CHUNK", 7)
     assert (langid.ngram_counts(text) == whole[0]).all()
-    assert (np.concatenate(list(lmscore.ngrams(text))) == whole[1]).all()
+    assert sum(lmscore.tokens(text), []) == whole[1]
+    assert whole[1][:8] == ["grüße", "aus", "dem", "süden", ",", "中", "文", "🙂"]
 
 
 # --- language model ----------------------------------------------------------------------------
@@ -409,41 +411,63 @@ def test_ngram_counts_do_not_depend_on_the_chunk(monkeypatch):
 def plain_losses(texts: list[str]):
     from collections import Counter
 
-    counts = [Counter() for _ in range(lmscore.ORDER + 1)]
-    for text in texts:
-        symbols = [lmscore.SPACE] * (lmscore.ORDER - 1) + [lmscore.symbol(c) for c in text]
-        for k in range(lmscore.ORDER - 1, len(symbols)):
-            for n in range(lmscore.ORDER + 1):
-                counts[n][tuple(symbols[k - n + 1 : k + 1])] += 1
-
-    def chance(gram: tuple) -> float:
-        if not gram:
-            return 1.0 / lmscore.SYMBOLS
-        context = sum(v for g, v in counts[len(gram)].items() if g[:-1] == gram[:-1])
-        return (counts[len(gram)][gram] + lmscore.PRIOR * chance(gram[1:])) / (context + lmscore.PRIOR)
-
-    return lambda text: [
-        -np.log(chance(tuple(([lmscore.SPACE] * (lmscore.ORDER - 1) + [lmscore.symbol(c) for c in text])[k : k + lmscore.ORDER])))
-        for k in range(len(text))
-    ]
-
+    def words(text):
+        return re.findall(r"[一-鿿]|[^\W一-鿿]+|[^\w\s]", text.lower())
 
-def test_cross_entropy_difference_equals_brute_force(spark):
-    texts = ["the dog runs.", "A dog, a DOG!", "xx yy 12", "", None, "été\nzz"]
+    ones, twos = Counter(), Counter()
+    for text in texts:
+        if words(text):
+            found = ["", *words(text), ""]
+            ones.update(found[1:])
+            twos.update(zip(found, found[1:], strict=False))
+
+    def loss(text):
+        found = ["", *words(text), ""]
+        out = []
+        for before, word in zip(found, found[1:], strict=False):
+            chance = 64.0 ** -(min(len(word), 100) + 1)
+            chance = (ones[word] + 20 * chance) / (sum(ones.values()) + 20)
+            out.append(-np.log((twos[before, word] + 20 * chance) / (ones[before] + 20)))
+        return out
+
+    return loss
+
+
+@pytest.mark.parametrize("block_rows", [50_000, 2])
+def test_cross_entropy_difference_equals_brute_force(spark, monkeypatch, block_rows):
+    monkeypatch.setattr(lmscore, "BLOCK_ROWS", block_rows)
+    texts = ["the dog runs.", "A dog, a DOG!", "xx yy 12", "", None, "été\nzz", " \n", "中文 " + "w" * 300, "the dog runs.", "Чёрный кот, the dog"]
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     labels = spark.createDataFrame([(0, 1), (1, 1), (1, 0), (2, 0), (None, 1), (5, None)], "doc_id long, quality int")
     target, background = plain_losses(texts[:2]), plain_losses([t or "" for t in texts])
-    for row in lmscore.scored(frame, labels).collect():
-        text = texts[row["doc_id"]] or ""
-        assert row["tokens"] == len(text)
+    rows = lmscore.scored(frame, labels).collect()
+    assert sorted(row["doc_id"] for row in rows) == list(range(len(texts)))
+    for row in rows:
+        text = (texts[row["doc_id"]] or "").strip()
         if text:
-            assert row["loss_target"] == pytest.approx(np.mean(target(text)), rel=1e-4)
-            assert row["loss_background"] == pytest.approx(np.mean(background(text)), rel=1e-4)
-        assert row["score"] == pytest.approx(row["loss_target"] - row["loss_background"], abs=1e-6)
+            assert row["tokens"] == len(target(text))
+            assert row["loss_target"] == pytest.approx(np.mean(target(text)), rel=1e-9)
+            assert row["loss_background"] == pytest.approx(np.mean(background(text)), rel=1e-9)
+        else:
+            assert (row["tokens"], row["loss_target"], row["score"]) == (0, 0.0, 0.0)
+        assert row["score"] == pytest.approx(row["loss_target"] - row["loss_background"], abs=1e-9)
     assert lmscore.scored(frame.filter("false"), labels).collect() == []
     assert lmscore.scored(frame, labels.filter("false")).count() == len(texts)
 
 
+def test_repeated_ids_and_copies_are_scored_each(spark, monkeypatch):
+    monkeypatch.setattr(lmscore, "BLOCK_ROWS", 20)
+    rows = [(7, "one and the same text")] * 60 + [(7, "another")] + [(None, "no id")] * 5
+    frame = spark.createDataFrame(rows, "doc_id long, text string").withColumn("block", F.lit("x"))
+    labels = spark.createDataFrame([(7, 1), (7, 2)], "doc_id long, quality int")
+    found = lmscore.scored(frame, labels).collect()
+    target = plain_losses([text for doc_id, text in rows if doc_id == 7])
+    assert len(found) == len(rows)
+    assert len({(r["doc_id"], r["tokens"], r["score"]) for r in found}) == 3
+    (loss,) = {r["loss_target"] for r in found if r["doc_id"] is None}
+    assert loss == pytest.approx(np.mean(target("no id")), rel=1e-9)
+
+
 # --- near duplicates of the pipeline -------------------------------------------------------------
 
 
