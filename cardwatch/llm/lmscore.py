@@ -125,9 +125,11 @@ def good_rows(docs: pa.Table, ids: pa.ChunkedArray) -> np.ndarray:
 
 def count_block(docs: pa.Table, good: pa.Table) -> pa.Table:
     block = Block(docs.to_batches())
-    number = np.full(len(block.grams), docs["block"][0].as_py())
-    columns = [number, block.grams, block.counts(), block.counts(good_rows(docs, good["good"]))]
-    return pa.table(dict(zip(("block", "gram", "n", "n_good"), columns, strict=True)))
+    n, n_good = block.counts(), block.counts(good_rows(docs, good["good"]))
+    # Rows alike but for the n-gram follow each other, so that a shuffle compresses them well.
+    order = np.lexsort((block.grams, n_good, n))
+    number = np.full(len(order), docs["block"][0].as_py())
+    return pa.table({"block": number, "gram": block.grams[order], "n": n[order], "n_good": n_good[order]})
 
 
 def score_block(docs: pa.Table, found: pa.Table) -> pa.Table:
