@@ -532,6 +532,40 @@ def test_near_duplicates_by_row(spark):
     assert neardup.near_duplicates_removed(frame.filter("false")).collect() == []
 
 
+@pytest.mark.parametrize("cell", [None, 3])
+def test_pairs_within_the_radius_are_linked_without_equal_min_hashes(spark, cell):
+    """Covering masks alone find every pair within the radius that is alike, and nothing else is linked."""
+    rng = random.Random(21)
+    rows = []
+    for group in range(30):
+        print_, sketch = rng.getrandbits(64), rng.sample(range(10**6), 100)
+        for _ in range(8 if group else 40):
+            flipped = print_
+            for bit in rng.sample(range(64), rng.randint(0, 5)):
+                flipped ^= 1 << bit
+            own = sorted(rng.sample(sketch, 95) + rng.sample(range(10**6), rng.choice([2, 60])))
+            rows.append((len(rows), flipped, own))
+    signed = [(k, p - (p >> 63 << 64), [4 * k + n for n in range(neardup.TABLES)], s) for k, p, s in rows]
+    classes = spark.createDataFrame(signed, "node long, print long, mins array<long>, sketch array<int>").repartition(3)
+
+    def components(pairs):
+        of = list(range(len(rows)))
+        for a, b in pairs:
+            low, high = sorted((of[a], of[b]))
+            of = [low if x == high else x for x in of]
+        return of
+
+    wanted = components(
+        (a, b)
+        for a in range(len(rows))
+        for b in range(a)
+        if (rows[a][1] ^ rows[b][1]).bit_count() <= neardup.RADIUS and neardup.alike(np.array(rows[a][2]), np.array(rows[b][2])) >= 0.8
+    )
+    found = [tuple(r) for r in neardup.verified_links(classes, cell=cell).collect()]
+    assert len(set(wanted)) < len(rows)
+    assert components(found) == wanted
+
+
 def test_similarity_of_sketches():
     rng = random.Random(3)
     for size in (1, 4, 30, 200, 2000):
