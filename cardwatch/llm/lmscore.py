@@ -12,9 +12,10 @@ corpus and no task and no driver holds one.
 
 * Documents are dealt at random into blocks of bounded size, so neither an id, a source nor a group of
   copies makes a block large. A block counts its n-grams once, whatever number of documents they stand in.
-* Counts meet by n-gram. An n-gram that is in one block only is not sent back, as the block knows its
-  count already; the others return to the blocks that hold them.
-* A block scores its documents with these counts. Only ids are joined with the labels, not texts.
+* Counts meet by ranges of n-grams, as many as there are blocks, so a range is as large as a block. A block
+  sends one row for each range, with its n-grams there in order and how often each stands; the sums come
+  back in the same order, without the n-grams.
+* A block scores its documents with these sums. Only ids are joined with the labels, not texts.
 
 N-grams are known by 64 bits of a hash; two that share one would share their counts.
 
@@ -36,7 +37,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cardwatch.llm.common import rows_of
@@ -57,7 +58,8 @@ BETWEEN = re.compile(rf"[\W{UNSPACED}]")
 
 #: Numbers that stand for the boundary and for the count of all tokens.
 BOUNDARY, TOTAL = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03
-GRAMS = "block long, gram long, n long, n_good long"
+COUNTS = "block long, span long, grams binary, n binary, n_good binary, length long"
+SUMS = "block long, span long, n binary, n_good binary"
 
 
 def tokens(text: str):
@@ -123,31 +125,68 @@ def good_rows(docs: pa.Table, ids: pa.ChunkedArray) -> np.ndarray:
     return pc.is_in(docs["doc_id"], value_set=pc.drop_null(ids.combine_chunks())).to_numpy(zero_copy_only=False)
 
 
-def count_block(docs: pa.Table, good: pa.Table) -> pa.Table:
+def packed(numbers: np.ndarray) -> bytes:
+    """Whole numbers from 0 as bytes: their low bytes first, then the next ones, compressed."""
+    planes = np.ascontiguousarray(numbers.astype("<u8").view(np.uint8).reshape(-1, 8).T)
+    return pa.compress(planes, codec="zstd", asbytes=True)
+
+
+def unpacked(data: bytes, length: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(data, 8 * length, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(8, length).T).view("<u8").reshape(-1)
+
+
+def _spans(block: Block, spans: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the block's n-grams, and the places in it where each range of them begins and ends."""
+    grams = block.grams.view(np.uint64)
+    order = np.argsort(grams)
+    starts = np.array([(k << 64) // spans for k in range(1, spans)], np.uint64)
+    return order, np.concatenate([[0], np.searchsorted(grams[order], starts), [len(grams)]])
+
+
+def count_block(docs: pa.Table, good: pa.Table, spans: int) -> pa.Table:
+    """A row for each range that the block has n-grams in. ``grams`` are steps from one to the next."""
     block = Block(docs.to_batches())
-    n, n_good = block.counts(), block.counts(good_rows(docs, good["good"]))
-    # Rows alike but for the n-gram follow each other, so that a shuffle compresses them well.
-    order = np.lexsort((block.grams, n_good, n))
-    number = np.full(len(order), docs["block"][0].as_py())
-    return pa.table({"block": number, "gram": block.grams[order], "n": n[order], "n_good": n_good[order]})
+    order, ends = _spans(block, spans)
+    grams = block.grams.view(np.uint64)[order]
+    n, n_good = block.counts()[order], block.counts(good_rows(docs, good["good"]))[order]
+    own = np.flatnonzero(np.diff(ends))
+    parts = [slice(ends[k], ends[k + 1]) for k in own]
+    return pa.table(
+        {
+            "block": np.full(len(own), docs["block"][0].as_py()),
+            "span": own,
+            "grams": pa.array([packed(np.diff(grams[part], prepend=np.uint64(0))) for part in parts], pa.binary()),
+            "n": pa.array([packed(n[part]) for part in parts], pa.binary()),
+            "n_good": pa.array([packed(n_good[part]) for part in parts], pa.binary()),
+            "length": np.diff(ends)[own],
+        }
+    )
 
 
-def score_block(docs: pa.Table, found: pa.Table) -> pa.Table:
-    """``found`` has the block's good ids, with ``n`` NULL, and counts over all blocks of its n-grams; those
-    it lacks are in this block only."""
+def sum_span(counted: pa.Table) -> pa.Table:
+    """The counts of a range, each replaced by the sum over all blocks."""
+    lengths = counted["length"].to_pylist()
+    grams = np.concatenate([np.cumsum(unpacked(d, k), dtype=np.uint64) for d, k in zip(counted["grams"].to_pylist(), lengths, strict=True)])
+    _, at = np.unique(grams, return_inverse=True)
+    del grams
+    sums = []
+    for name in ("n", "n_good"):
+        own = np.concatenate([unpacked(d, k) for d, k in zip(counted[name].to_pylist(), lengths, strict=True)])
+        # Counts are exact as floating-point numbers up to 2 ** 53.
+        total = np.bincount(at, own.astype(np.float64)).astype(np.uint64)[at]
+        sums.append(pa.array([packed(part) for part in np.split(total, np.cumsum(lengths)[:-1])], pa.binary()))
+    return pa.table({"block": counted["block"], "span": counted["span"], "n": sums[0], "n_good": sums[1]})
+
+
+def score_block(docs: pa.Table, found: pa.Table, spans: int) -> pa.Table:
+    """``found`` has the sums of the block's ranges."""
     block = Block(docs.to_batches())
-    counted = found["n"].is_valid()
-    flags = good_rows(docs, found.filter(pc.invert(counted))["gram"])
-    found = found.filter(counted)
-    background, target = block.counts(), block.counts(flags)
-    grams = found["gram"].to_numpy()
-    order = np.argsort(grams)
-    place = np.minimum(np.searchsorted(grams, block.grams, sorter=order), max(len(grams) - 1, 0))
-    if len(grams):
-        place = order[place]
-        known = grams[place] == block.grams
-        background[known] = found["n"].to_numpy()[place[known]]
-        target[known] = found["n_good"].to_numpy()[place[known]]
+    order, ends = _spans(block, spans)
+    background, target = (np.zeros(len(block.grams), np.int64) for _ in range(2))
+    for row in found.select(["span", "n", "n_good"]).to_pylist():
+        part = order[ends[row["span"]] : ends[row["span"] + 1]]
+        background[part], target[part] = (unpacked(row[name], len(part)) for name in ("n", "n_good"))
     n = np.maximum(block.lengths, 1)
     losses = block.losses(target), block.losses(background)
     return pa.table(
@@ -175,15 +214,9 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     ids = dealt.select(F.col("block").alias("place"), F.col("doc_id").alias("good")).distinct()
     good = ids.join(good, "good", "left_semi").select("place", "good")
     by_block = dealt.groupBy("block")
-    counted = by_block.cogroup(good.groupBy("place")).applyInArrow(count_block, GRAMS)
-    everywhere = Window.partitionBy("gram")
-    shared = counted.select(
-        "block",
-        "gram",
-        *(F.sum(name).over(everywhere).alias(name) for name in ("n", "n_good")),
-        F.count(F.lit(1)).over(everywhere).alias("spread"),
-    ).filter("spread > 1")
-    known = shared.drop("spread").union(good.selectExpr("place", "good", "CAST(NULL AS long)", "CAST(NULL AS long)"))
-    return by_block.cogroup(known.groupBy("block")).applyInArrow(
-        score_block, "doc_id long, tokens long, loss_target double, loss_background double, score double"
+    counted = by_block.cogroup(good.groupBy("place")).applyInArrow(lambda d, g: count_block(d, g, blocks), COUNTS)
+    sums = counted.groupBy("span").applyInArrow(sum_span, SUMS)
+    return by_block.cogroup(sums.groupBy("block")).applyInArrow(
+        lambda d, f: score_block(d, f, blocks),
+        "doc_id long, tokens long, loss_target double, loss_background double, score double",
     )

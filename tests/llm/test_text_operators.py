@@ -468,6 +468,26 @@ def test_repeated_ids_and_copies_are_scored_each(spark, monkeypatch):
     assert loss == pytest.approx(np.mean(target("no id")), rel=1e-9)
 
 
+def test_a_block_sends_its_counts_in_few_bytes():
+    """Rows and bytes of what a block sends, and that the sums are those of all blocks."""
+    import pyarrow as pa
+
+    rng = random.Random(8)
+    texts = [" ".join(f"w{rng.randrange(500)}" for _ in range(400)) for _ in range(100)]
+    blocks = [pa.table({"block": [k] * 50, "doc_id": list(range(50 * k, 50 * k + 50)), "text": texts[50 * k : 50 * k + 50]}) for k in range(2)]
+    good = pa.table({"place": [0, 1], "good": [7, 60]})
+    sent = pa.concat_tables([lmscore.count_block(docs, good, 3) for docs in blocks])
+    n = sum(sent["length"].to_pylist())
+    assert sent.num_rows == 6 and n == sum(len(lmscore.Block(docs.to_batches()).grams) for docs in blocks)
+    assert sum(len(d) for name in ("grams", "n", "n_good") for d in sent[name].to_pylist()) < 8 * n
+    sums = pa.concat_tables([lmscore.sum_span(sent.filter(pa.compute.equal(sent["span"], k))) for k in range(3)])
+    target, background = plain_losses([texts[7], texts[60]]), plain_losses(texts)
+    for k, docs in enumerate(blocks):
+        for row in lmscore.score_block(docs, sums.filter(pa.compute.equal(sums["block"], k)), 3).to_pylist():
+            assert row["loss_target"] == pytest.approx(np.mean(target(texts[row["doc_id"]])), rel=1e-9)
+            assert row["loss_background"] == pytest.approx(np.mean(background(texts[row["doc_id"]])), rel=1e-9)
+
+
 # --- near duplicates of the pipeline -------------------------------------------------------------
 
 
